@@ -21,9 +21,9 @@ from .common import frequency_cutoff, stored, text_or_empty
 from .wordbpe import Frequencies, Pretokenizer, _Cache
 
 #: Pre-tokens whose piece counts are broadcast, at most (about 100 bytes each in a worker).
-HEAVY = 200_000
+HEAVY = 100_000
 #: Distinct pre-tokens that a task counts before it hands them on.
-FLUSH = 200_000
+FLUSH = 100_000
 
 
 def _batch_counts(path: str):
@@ -72,17 +72,17 @@ def _document_rows(path: str, heavy):
             words = tokens.split(p)
             return sum(known.get(w, 0) for w in words), tuple(w for w in words if w not in known)
 
-        cache = _Cache(lambda parts: [part(p) for p in parts], 300_000)
+        cache = _Cache(lambda parts: [part(p) for p in parts], 100_000)
         for batch in batches:
-            row, doc, text = (batch.column(i).to_pylist() for i in range(3))
-            for a in range(0, len(row), 256):
+            for a in range(0, batch.num_rows, 256):
+                row, doc, text = (batch.column(i).slice(a, 256).to_pylist() for i in range(3))
                 out = {"row": [], "doc_id": [], "n_bytes": [], "piece": [], "freq": [], "summed": []}
 
                 def put(*x):
                     for col, v in zip(out.values(), x):
                         col.append(v)
 
-                for r, d, t in zip(row[a : a + 256], doc[a : a + 256], text[a : a + 256]):
+                for r, d, t in zip(row, doc, text):
                     parts = tokens.chunks(t)
                     if parts is None:
                         counted = Counter(tokens.split(t))

@@ -94,7 +94,7 @@ class _Cache:
 class IdCache:
     """Ids of whole texts as little-endian uint32 bytes through a bounded cache of white-space separated parts."""
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 100_000):
         self._tokens = Pretokenizer(path)
         self._ids = _Cache(self._encode, most)
 
@@ -116,7 +116,7 @@ class IdCache:
 class Frequencies:
     """Pre-token frequencies of whole texts, many at a time."""
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 100_000):
         self._tokens = Pretokenizer(path)
         self._split = _Cache(lambda parts: [self._tokens.split(p) for p in parts], most)
 
