@@ -25,6 +25,12 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .extract import main_text
+
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import quality_scores
 
