@@ -26,6 +26,12 @@ def fold_case(col):
     return F.translate(col, UPPER, LOWER)
 
 
+def let(name: str, value: str, body: str) -> str:
+    """A SQL expression: body with name bound to value, which is computed once a row. An expression that the body of a
+    lambda refers to would be computed for every element."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, which every executor sees; a local one only where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

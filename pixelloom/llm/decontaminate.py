@@ -17,27 +17,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, fold_case, stored, text_or_empty
+from .common import LOWER, UPPER, broadcast_if_small, let, stored, text_or_empty
 
-WORD_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: As a SQL string.
+WORDS_SQL = rf"filter(split(translate({{}}, '{UPPER}', '{LOWER}'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), x -> x != '')"
 #: Rows of a test-side table up to which it is broadcast (counted first); beyond it both sides are shuffled.
 MOST_BROADCAST = 200_000
 
 
-def words_of(col: Column) -> Column:
-    return F.filter(F.split(fold_case(col), WORD_GAP), lambda w: w != "")
+def words_of(text: str) -> Column:
+    """The words of a text column, in order."""
+    return F.expr(WORDS_SQL.format(text))
 
 
 def test_items(benchmark: DataFrame, width: int) -> DataFrame:
     """(seq, words, n, size): each distinct non-empty word sequence once; size is the window's width."""
-    items = benchmark.select(words_of(text_or_empty()).alias("words")).where(F.size("words") > 0).distinct()
+    items = benchmark.select(text_or_empty().alias("text")).select(words_of("text").alias("words")).where(F.size("words") > 0).distinct()
     n = F.size("words")
     return items.select(F.xxhash64("words").alias("seq"), "words", n.alias("n"), F.least(n, F.lit(width)).alias("size"))
 
 
 def tokens(docs: DataFrame) -> DataFrame:
     """(key, pos, term): one row per word of every text."""
-    return docs.select("key", F.posexplode(words_of(F.col("text"))).alias("pos", "term"))
+    return docs.select("key", F.posexplode(words_of("text")).alias("pos", "term"))
 
 
 def corpus_counts(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -90,11 +92,11 @@ def exact_matches(docs: DataFrame, candidates: DataFrame, items: DataFrame) -> D
     if keys.count() <= MOST_BROADCAST:  # few enough: texts without a candidate stay where they are
         docs = docs.join(F.broadcast(keys), "key", "left_semi")
     of_item = candidates.join(broadcast_if_small(items, items.count(), MOST_BROADCAST), "seq")
-    both = of_item.join(docs.select("key", "text"), "key").withColumn("doc_words", words_of(F.col("text")))
-    same = F.expr("transform(words, (w, i) -> CASE WHEN get(doc_words, shift + i) = w THEN '1' ELSE '0' END)")
-    mask = both.select("key", "seq", "shift", "size", "n", F.array_join(same, "").alias("mask"))
-    starts = F.expr("filter(sequence(0, n - size), s -> substr(mask, s + 1, size) = repeat('1', size))")
-    return mask.withColumn("starts", starts).where(F.size("starts") > 0).select("key", "seq", "shift", "size", "starts")
+    both = of_item.join(docs.select("key", "text"), "key")
+    same = "array_join(transform(words, (w, i) -> CASE WHEN get(d, shift + i) = w THEN '1' ELSE '0' END), '')"
+    mask = let("d", WORDS_SQL.format("text"), same)
+    starts = let("mask", mask, "filter(sequence(0, n - size), s -> substr(mask, s + 1, size) = repeat('1', size))")
+    return both.select("key", "seq", "shift", "size", F.expr(starts).alias("starts")).where(F.size("starts") > 0)
 
 
 def phrase_matches(docs: DataFrame, benchmark: DataFrame, width: int = 13, anchors: int = 3) -> DataFrame:
@@ -132,7 +134,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13, anchor
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     base = base.withColumn("key", F.struct("doc_id", F.xxhash64("text").alias("h")))
     matches = stored(phrase_matches(base.select("key", "text"), benchmark, width, anchors), "matches")
-    ids = benchmark.select(F.xxhash64(words_of(text_or_empty())).alias("seq"), F.col("item_id").cast("string").alias("item")).where("item IS NOT NULL").distinct()
+    ids = benchmark.select(text_or_empty().alias("text"), F.col("item_id").cast("string").alias("item"))
+    ids = ids.select(F.xxhash64(words_of("text")).alias("seq"), "item").where("item IS NOT NULL").distinct()
     hit = (
         matches.select("key", F.explode("starts").alias("s"), "shift", "size")
         .select("key", F.explode(F.expr("sequence(shift + s, shift + s + size - 1)")).alias("pos"))
@@ -147,7 +150,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13, anchor
     )
     # matches of repeated rows join to each of them, once: both sides are one row per key
     per_key = hit.join(listed, "key", "left")
-    sizes = base.select("doc_id", "key", F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
+    sizes = base.select("doc_id", "key", F.size(words_of("text")).cast("long").alias("n_words"))
     n_hit = F.coalesce("n_hit", F.lit(0))
     return sizes.join(per_key, "key", "left").select(
         "doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),

@@ -17,7 +17,7 @@ import json
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, text_or_empty
+from .common import LOWER, UPPER, let, text_or_empty
 
 #: As a SQL string.
 WORD_GAP = r"[\\x20\\x09-\\x0D]+"
@@ -27,18 +27,13 @@ BITS = 8
 _POSITIVE = 0x7FFFFFFFFFFFFFFF
 
 
-def _let(name: str, value: str, body: str) -> str:
-    """body with name bound to value, which is computed once: expressions that a lambda refers to are not."""
-    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
-
-
 def _bins_sql(text: str, words: int, bins: int) -> str:
     """array<int>: the kept low bits of every bin; all bins of a text without words hold the same mark."""
     shift = 63 - (bins.bit_length() - 1)
     mark = f"{(1 << shift) - 1}L"
     sentinels = "array(" + ", ".join(f"{b << shift | (1 << shift) - 1}L" for b in range(bins)) + ")"
     split = f"transform(filter(split(translate({text}, '{UPPER}', '{LOWER}'), '{WORD_GAP}'), x -> x != ''), x -> xxhash64(x))"
-    hashes = _let("w", split, f"""CASE WHEN size(w) = 0 THEN cast(array() AS array<bigint>) WHEN size(w) < {words} THEN array(xxhash64(w))
+    hashes = let("w", split, f"""CASE WHEN size(w) = 0 THEN cast(array() AS array<bigint>) WHEN size(w) < {words} THEN array(xxhash64(w))
         ELSE transform(slice(w, 1, size(w) - {words - 1}), (x, i) -> xxhash64(slice(w, i + 1, {words}))) END""")
     ordered = f"sort_array(concat(transform({hashes}, x -> x & {_POSITIVE}L), {sentinels}))"
     firsts = f"filter(s, (x, i) -> i = 0 OR shiftright(x, {shift}) != shiftright(s[i - 1], {shift}))"
@@ -46,7 +41,7 @@ def _bins_sql(text: str, words: int, bins: int) -> str:
     probe = f"array_min(transform(held, y -> struct(xxhash64(b, shiftright(y, {shift})) AS at, y AS y))).y"
     dense = f"CASE WHEN size(held) IN (0, {bins}) THEN m ELSE transform(m, (x, b) -> CASE WHEN (x & {mark}) != {mark} THEN x ELSE {probe} END) END"
     kept = f"transform({dense}, x -> cast(x & {(1 << BITS) - 1} AS int))"
-    return _let("s", ordered, _let("m", firsts, _let("held", f"filter(m, x -> (x & {mark}) != {mark})", kept)))
+    return let("s", ordered, let("m", firsts, let("held", f"filter(m, x -> (x & {mark}) != {mark})", kept)))
 
 
 def _with_bins(df: DataFrame, text: str, out: str, words: int, bins: int) -> DataFrame:
