@@ -124,7 +124,7 @@ def proximity_matches(docs: DataFrame, benchmark: DataFrame, width: int = 13, an
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13, anchors: int = 3) -> DataFrame:
-    """Per row of docs: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
+    """Per row of docs: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, text_hash (xxhash64 of the text).
 
     n_hit counts the document words inside any occurrence of a window; contaminated: n_hit > 0 and 20 * n_hit >= n_words.
     Null or empty texts have no words and are clean. Items without words match nothing; items with a null item_id count
@@ -155,5 +155,5 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13, anchor
     return sizes.join(per_key, "key", "left").select(
         "doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
         F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"),
-        ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"),
+        ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"), F.col("key.h").alias("text_hash"),
     )
