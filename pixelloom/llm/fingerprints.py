@@ -76,12 +76,12 @@ def _ranges(docs: DataFrame) -> DataFrame:
     cuts = docs.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)] or [0.5], max(10_000, 2 * parts)).alias("c")).first()["c"]
     cuts = sorted(set(cuts or []))
     values = F.from_json(F.lit(json.dumps(cuts)), "array<bigint>")
-    # binary search: the position among the cuts
-    step, part = 1 << max(0, len(cuts).bit_length() - 1), F.lit(0)
-    while step and cuts:
-        at = part + step
-        part = F.when((at <= len(cuts)) & (F.get(values, at - 1) <= F.col("doc_id")), at).otherwise(part)
-        step >>= 1
+    # binary search: how many cuts are at or below the doc_id
+    steps = [1 << k for k in reversed(range(len(cuts).bit_length()))]
+    part = F.aggregate(
+        F.array(*map(F.lit, steps or [1])), F.lit(0), lambda at, s: F.when((at + s <= len(cuts)) & (F.get(values, at + s - 1) <= F.col("doc_id")), at + s).otherwise(at)
+    )
+    part = F.when(F.col("doc_id").isNotNull(), part)
     return docs.withColumn("part", F.coalesce(part, F.lit(len(cuts))))
 
 
