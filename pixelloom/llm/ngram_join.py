@@ -13,7 +13,7 @@ both is among them on either side.
 The boundary between light and heavy is the size at which the estimated cost (keys to make, lists to scan) is least.
 
 Copies are one node: the keys are posted by set, not by document. A list isn't expanded into pairs. First every node of a
-list is compared with the list's least node, and verified links are joined into components. Pairs within one component then
+list is compared with the list's least and greatest node, and verified links are joined into components. Pairs within one component then
 need no comparison, as they can't change it; the pairs of a list that lie in different components are all compared. Sizes and
 a parity sketch (which bounds the difference from below) rule out pairs before their sets are read. No pair is left out.
 
@@ -38,6 +38,8 @@ from .wordbpe import _Cache
 MOST_LIGHT, SCAN = 40, 3
 #: Bits of the fixed-size filters with which later scans skip keys and texts that cannot matter (a join decides).
 FILTER_BITS = 1 << 26
+#: Parity sketches have so many words of 64 bits.
+SKETCH = 16
 _U = np.uint64
 _M1, _M2 = _U(0xFF51AFD7ED558CCD), _U(0xC4CEB9FE1A85EC53)  # fixed values: a 64-bit finalizer's multipliers
 
@@ -145,8 +147,8 @@ class Scheme:
 
 
 def sketch(hashes: np.ndarray) -> np.ndarray:
-    """Parities of 256 counts: sets differ in at least as many shingles as their sketches differ in bits."""
-    odd = np.bincount((hashes >> _U(56)).astype(np.int64), minlength=256).astype(np.uint8) & 1
+    """Parities of 1024 counts: sets differ in at least as many shingles as their sketches differ in bits."""
+    odd = (np.bincount((hashes >> _U(54)).astype(np.int64), minlength=64 * SKETCH) & 1).astype(np.uint8)
     return np.packbits(odd).view(np.int64)
 
 
@@ -196,7 +198,7 @@ def node_of(hashes: np.ndarray) -> np.int64:
     return _signed(mix(np.array([hashes.sum(dtype=_U) + _U(len(hashes))], _U)))[0]
 
 
-_DOC = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), *((f"b{i}", pa.int64()) for i in range(4)), ("keys", pa.list_(pa.int64()))])
+_DOC = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), *((f"b{i}", pa.int64()) for i in range(SKETCH)), ("keys", pa.list_(pa.int64()))])
 
 
 def _documents(words: int, scheme: Scheme, repeated):
@@ -251,12 +253,15 @@ def _similar(num: int, den: int):
 def _possible(num: int, den: int):
     """A condition on two nodes' sizes and sketches that every similar pair meets (columns u_*, v_*)."""
     n, m = F.least("u_n", "v_n"), F.greatest("u_n", "v_n")
-    apart = sum((F.bit_count(F.col(f"u_b{i}").bitwiseXOR(F.col(f"v_b{i}"))) for i in range(4)), F.lit(0))
+    apart = sum((F.bit_count(F.col(f"u_b{i}").bitwiseXOR(F.col(f"v_b{i}"))) for i in range(SKETCH)), F.lit(0))
     return (F.lit(den) * n >= F.lit(num) * m) & (F.lit(num + den) * apart <= F.lit(den - num) * (n + m))
 
 
+_SKETCH = [f"b{i}" for i in range(SKETCH)]
+
+
 def _side(df: DataFrame, side: str, *keep: str) -> DataFrame:
-    return df.select(*keep, F.col("node").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in ("n", "b0", "b1", "b2", "b3")))
+    return df.select(*keep, F.col("node").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in ("n", *_SKETCH)))
 
 
 class Join:
@@ -275,11 +280,11 @@ class Join:
         sizes = short.select(F.greatest(F.lit(1), F.col("w") - (words - 1)).alias("n")).where(f"n <= {MOST_LIGHT}").groupBy("n").count().collect()
         self.scheme.choose({r["n"]: r["count"] for r in sizes})
         every = base.select("t").mapInArrow(_all_keys(words, self.scheme), "key long, node long")
-        lists = every.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot != last").select("key", "pivot")
+        lists = every.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot != last")
         self.lists = stored(lists, "lists")
         found = context.broadcast(KeyFilter.of(self.lists, "key"))
-        self.rows = stored(base.mapInArrow(_documents(words, self.scheme, found), "doc_id long, n long, node long, b0 long, b1 long, b2 long, b3 long, keys array<long>"), "rows")
-        info = [F.max(c).alias(c) for c in ("n", "b0", "b1", "b2", "b3")]
+        self.rows = stored(base.mapInArrow(_documents(words, self.scheme, found), "doc_id long, n long, node long, " + ", ".join(f"{b} long" for b in _SKETCH) + ", keys array<long>"), "rows")
+        info = [F.max(c).alias(c) for c in ("n", *_SKETCH)]
         self.nodes = stored(self.rows.where("n > 0").groupBy("node").agg(*info, F.min("doc_id").alias("doc_id")), "nodes")
         held = self.rows.select("node", F.explode("keys").alias("key")).distinct()
         self.posts = stored(held.join(self.lists.hint("merge"), "key"), "posts")
@@ -301,7 +306,8 @@ class Join:
     def labels(self) -> DataFrame:
         """(node, label): the component of every node that is linked to another."""
         possible = _possible(self.num, self.den)
-        stars = self.posts.where("node != pivot").select(F.col("pivot").alias("u"), F.col("node").alias("v")).distinct()
+        ends = F.explode(F.array("pivot", "last"))
+        stars = self.posts.select(ends.alias("u"), F.col("node").alias("v")).where("u != v").distinct()
         stars = stars.join(_side(self.nodes, "v"), "v").join(_side(self.nodes, "u"), "u").where(possible)
         stars = stored(stars.select("u", "v"), "stars")
         links = self._verified(stars)
