@@ -78,7 +78,7 @@ def alignments(index: DataFrame, anchors: DataFrame) -> DataFrame:
     need = stored(need, "need")
     return (
         found.join(broadcast_if_small(need, need.count(), MOST_BROADCAST), ["seq", "start"])
-        .where("got = need")
+        .where("got >= need")  # rows that repeat count their postings more than once; the comparison of words decides
         .select("key", "seq", "shift")
         .distinct()
     )
