@@ -42,3 +42,13 @@ def test_cleaning_policies(spark):
 def test_ties_go_to_class_0_by_argmax_and_1_by_threshold(spark):
     r = one(spark, a=P.argmax_label(F.lit(0.5), F.lit(0.5)), b=P.threshold_label(F.lit(0.5)))
     assert tuple(r) == (0, 1)
+
+
+def test_memory_budget_priorities():
+    from pixelloom.functions.memory import MemoryBudget
+
+    assert MemoryBudget(16_000).batch_size() == 426 and MemoryBudget(16_000, share=0.5).batch_size() == 213
+    assert MemoryBudget(16_000, max_mb=600).batch_size([20, 40]) == 15 and MemoryBudget(100).batch_size() == 5
+    assert MemoryBudget(10**6).batch_size() == 500 and MemoryBudget(100, batch=7).batch_size() == 7
+    with pytest.raises(ValueError):
+        MemoryBudget(0)
