@@ -10,6 +10,7 @@ What reaches the driver is one row per slot, SLOTS of them whatever the input.
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -99,7 +100,7 @@ def shard(docs: DataFrame, shards: int = 24, slots: int = SLOTS, path: str | Non
     table gives no rows; columns besides doc_id and text are ignored.
     """
     spark = docs.sparkSession
-    path = path or f"{shared_dir(spark)}/pixelloom/slot-map-{spark.sparkContext.applicationId}-{id(docs)}"
+    path = path or f"{shared_dir(spark)}/pixelloom/slot-map-{uuid.uuid4().hex}"
     rows = stored(with_slots(docs, slots), "slotted")
     counted = {r["virtual_slot"]: (r["bytes"], r["rows"]) for r in slot_bytes(rows).collect()}
     sizes = [counted.get(s, (0, 0))[0] for s in range(slots)]
