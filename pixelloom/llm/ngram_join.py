@@ -334,5 +334,6 @@ def similar_groups(docs: DataFrame, words: int = 5, num: int = 80, den: int = 10
     label = F.coalesce("label", "node")
     rows = join.rows.select("doc_id", "n", "node").join(join.labels(), "node", "left").select("doc_id", "n", label.alias("label"))
     rows = stored(rows, "labelled")
-    least = rows.where("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("least"))
+    # stored, so that the join below is one of two scans, whose large groups Spark can split
+    least = stored(rows.where("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("least")), "least")
     return rows.join(least, "label", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
