@@ -222,6 +222,7 @@ def main_text(pages: DataFrame) -> DataFrame:
     parsed = rows.mapInArrow(_parsed, f"page_id long, url string, host string, settled boolean, blocks {kind.format('text: string')}, texts {kind.format('feature: bigint')}, styles {kind.format('feature: bigint')}")
     parsed = stored(parsed.withColumn("row", F.monotonically_increasing_id()), "pages")
     low = style_tree(parsed).where((F.col("importance") < LEAST_IMPORTANCE) & (F.col("n_pages") >= LEAST_PAGES)).select("host", "branch")
+    low = stored(low, "low")  # a scan: the join on a large host's branches can be split
     # only pages without a main region ask the tree
     asked = parsed.where("NOT settled").select("row", "host", F.explode(F.array_distinct(F.transform("blocks", lambda b: b["branch"]))).alias("branch"))
     removed = asked.join(low, ["host", "branch"]).groupBy("row").agg(F.collect_set("branch").alias("gone"))

@@ -69,9 +69,10 @@ def write_archive(pages: DataFrame, path: str | None = None, least: int = 0, dat
     every = captures(pages)
     # one row of each payload: the row key keeps repeated rows apart without comparing payloads
     keyed = stored(every.drop("raw").withColumn("row", F.monotonically_increasing_id()), "captures")
-    first = keyed.groupBy("sha256", "sha1", "payload_bytes").agg(F.min("page_id").alias("first"))
+    # both tables are stored, so that the joins are of scans, whose large groups Spark can split
+    first = stored(keyed.groupBy("sha256", "sha1", "payload_bytes").agg(F.min("page_id").alias("first")), "first")
     marks = keyed.join(first, ["sha256", "sha1", "payload_bytes"])
-    lead = marks.where(F.col("page_id").eqNullSafe(F.col("first"))).groupBy("sha256", "sha1", "payload_bytes").agg(F.min("row").alias("lead"))
+    lead = stored(marks.where(F.col("page_id").eqNullSafe(F.col("first"))).groupBy("sha256", "sha1", "payload_bytes").agg(F.min("row").alias("lead")), "lead")
     revisit = (F.col("payload_bytes") >= least) & (F.col("row") != F.col("lead"))
     kind = F.when(revisit, "revisit").otherwise("response")
     records = marks.join(lead, ["sha256", "sha1", "payload_bytes"]).select(
