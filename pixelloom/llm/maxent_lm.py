@@ -31,7 +31,7 @@ END = b"\n"
 #: Rounds of gradient updates after the first; strength of smoothing, of the first update and of later ones.
 ROUNDS, KAPPA, FIRST, RATE = 1, 20.0, 0.6, 1.0
 #: Tokens of one numpy batch, distinct words that a task counts or remembers.
-BATCH, FLUSH, CACHE = 1 << 15, 150_000, 150_000
+BATCH, FLUSH, CACHE = 1 << 16, 100_000, 100_000
 _U = np.uint64
 
 
