@@ -199,21 +199,20 @@ def _gradient(vocabulary, weights):
             for codes, first, _ in _batched(texts, coder):
                 at = contexts(codes, first)
                 own = v.classes[codes]
-                if w is None:
-                    d = np.broadcast_to(np.exp(bias), (1, CLASSES))
-                else:
+                if w is not None:
                     d = _softmax(w, bias, at)
+                    d[np.arange(len(own)), own] -= 1  # expected classes less the observed one
                 for f in at:
-                    n = np.bincount(f, minlength=1 << BITS)
-                    seen += n
-                    # observed classes less expected ones
-                    total += np.bincount(own.astype(np.int64) << BITS | f, minlength=CLASSES << BITS).reshape(CLASSES, -1)
                     if w is None:
-                        total -= d.T * n
+                        np.add.at(total.reshape(-1), own.astype(np.int64) << BITS | f, 1.0)
+                        seen += np.bincount(f, minlength=1 << BITS)
                     else:
                         order = np.argsort(f, kind="stable")
                         at0 = np.flatnonzero(np.diff(f[order], prepend=-1))
                         total[:, f[order[at0]]] -= np.add.reduceat(d[order], at0, axis=0).T
+                        seen[f[order[at0]]] += np.diff(at0, append=len(f))
+        if w is None:  # the same prior for every token
+            total -= np.exp(bias)[:, None] * seen
         keep = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(keep.astype(np.int32)), pa.array(seen[keep]), *(pa.array(total[c, keep].astype(np.float32)) for c in range(CLASSES))], names=fields)
 
