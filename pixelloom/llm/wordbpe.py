@@ -11,6 +11,8 @@ import re
 import unicodedata
 from collections import Counter
 
+import numpy as np
+
 _SAFE = [9, 10, 13, *range(0x20, 0x7F), *range(0xA0, 0x180), *range(0x2010, 0x2028), 0x20AC]
 _CLASS = {k: "".join(re.escape(chr(c)) for c in _SAFE if unicodedata.category(chr(c))[0] == k) for k in "LN"}
 _CONTRACTIONS = "'(?:s|t|re|ve|m|ll|d)"
@@ -94,17 +96,35 @@ class _Cache:
 class IdCache:
     """Ids of whole texts as little-endian uint32 bytes through a bounded cache of white-space separated parts."""
 
-    def __init__(self, path: str, most: int = 100_000):
+    def __init__(self, path: str, most: int = 500_000):
         self._tokens = Pretokenizer(path)
         self._ids = _Cache(self._encode, most)
+        known = self._tokens.library.get_vocab(with_added_tokens=False)
+        self._ends = np.zeros(1 + max(self._tokens.library.get_vocab().values()), bool)
+        self._ends[[i for t, i in known.items() if t.endswith("</w>")]] = True
 
     def _encode(self, parts: list[str]) -> list[bytes]:
-        return [b"".join(i.to_bytes(4, "little") for i in ids) for ids in self._tokens.encode(parts)]
+        """Ids of parts without white space. Many are encoded as one text, whose ids are cut where words end."""
+        out: list[bytes] = []
+        for k in range(0, len(parts), 2000):
+            some = parts[k : k + 2000]
+            ids = np.array(self._tokens.library.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            words = np.flatnonzero(self._ends[ids]) + 1
+            upto = np.cumsum([len(self._tokens.split(p)) for p in some])
+            if len(words) != upto[-1]:  # an id that doesn't end a word: each by itself
+                out += [self._whole(p) for p in some]
+                continue
+            raw, cuts = ids.tobytes(), [0, *(4 * words[upto - 1]).tolist()]
+            out += [raw[i:j] for i, j in zip(cuts, cuts[1:])]
+        return out
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self._tokens.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def ids(self, text: str) -> bytes:
         parts = self._tokens.chunks(text)
         if parts is None:
-            return self._encode([text])[0]
+            return self._whole(text)
         known = self._ids.known
         try:
             return b"".join([known[p] for p in parts])
