@@ -8,10 +8,11 @@ pages, in logarithms to the base m:
 * content: 1 less the mean entropy of the branch's texts over pages; a text that is on every page adds 0, one that is on
   one page only adds 1.
 
-The composite is GAMMA * content + (1 - GAMMA) * presentation. Blocks on branches of low importance are removed from each page.
-What HTML itself says comes first: landmarks and names of menus, headers, footers, sidebars, notices, adverts, forms and
-comments have importance 0, and article or main regions are the page's text where a page has them. The entropies decide about
-all other branches, on hosts with enough pages.
+The composite is GAMMA * content + (1 - GAMMA) * presentation. Blocks on branches of low importance are removed from each page,
+and so is a text that nearly all pages with its branch show: a promo paragraph shares its branch with the page's own ones.
+What HTML itself says is a prior: landmarks and names of menus, headers, footers, sidebars, notices, adverts, forms and comments
+have importance 0, and where a page has article or main regions, only blocks in them are candidates. The entropies decide about
+all candidates, inside such regions too, on hosts with enough pages.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from .common import stored
 GAMMA = 0.9
 #: Branches under this importance are removed where they are on so many pages of the host at least.
 LEAST_IMPORTANCE, LEAST_PAGES = 0.3, 4
+#: A text is removed where it is on this share of the pages that have its branch.
+COMMON = 0.9
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 _ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
@@ -171,9 +174,9 @@ def host_of(url: str) -> str:
     return m[1].lower() if m else ""
 
 
-_BLOCK = pa.struct([("branch", pa.int64()), ("text", pa.string())])
+_BLOCK = pa.struct([("branch", pa.int64()), ("feature", pa.int64()), ("text", pa.string())])
 _MARK = pa.struct([("branch", pa.int64()), ("feature", pa.int64())])
-_PARSED = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("settled", pa.bool_()), ("blocks", pa.list_(_BLOCK)), ("texts", pa.list_(_MARK)), ("styles", pa.list_(_MARK))])
+_PARSED = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("blocks", pa.list_(_BLOCK)), ("texts", pa.list_(_MARK)), ("styles", pa.list_(_MARK))])
 
 
 def _parsed(batches):
@@ -183,52 +186,60 @@ def _parsed(batches):
             for page, url, source in zip(*(batch.column(i).slice(a, 256).to_pylist() for i in range(3))):
                 blocks, styles = parse(source or "")
                 main = any(s == MAIN for s, _, _ in blocks)
-                kept = [{"branch": b, "text": t} for s, b, t in blocks if s == (MAIN if main else OPEN)]
-                row = (page, url, host_of(url or ""), main or not kept, kept, [{"branch": b, "feature": f} for b, f in {(b, _hash(t)) for _, b, t in blocks}],
+                marked = [(s, b, _hash(t), t) for s, b, t in blocks]
+                kept = [{"branch": b, "feature": f, "text": t} for s, b, f, t in marked if s == (MAIN if main else OPEN)]
+                row = (page, url, host_of(url or ""), kept, [{"branch": b, "feature": f} for b, f in {(b, f) for _, b, f, _ in marked}],
                        [{"branch": b, "feature": f} for b, f in styles])
                 for col, v in zip(out.values(), row):
                     col.append(v)
             yield pa.RecordBatch.from_pydict(out, schema=_PARSED)
 
 
-def _entropies(parsed: DataFrame, marks: str) -> DataFrame:
+def _counts(parsed: DataFrame, marks: str) -> DataFrame:
+    """(host, branch, feature, k): feature f is on k pages."""
+    return parsed.select("host", F.explode(marks).alias("m")).groupBy("host", "m.branch", "m.feature").agg(F.count("*").alias("k"))
+
+
+def _entropies(each: DataFrame) -> DataFrame:
     """(host, branch): pages and the sums over features f on k_f pages that both entropies are made of."""
-    each = parsed.select("host", F.explode(marks).alias("m")).groupBy("host", "m.branch", "m.feature").agg(F.count("*").alias("k"))
     return each.groupBy("host", "branch").agg(F.count("*").alias("kinds"), F.sum(F.ln("k")).alias("logs"), F.sum("k").alias("n"), F.sum(F.col("k") * F.ln("k")).alias("klogs"))
 
 
 def style_tree(parsed: DataFrame) -> DataFrame:
-    """(host, branch, n_pages, importance) of every branch of every host's merged tree."""
+    """(host, branch, n_pages, importance, common) of every branch of every host's merged tree; common: texts of nearly all its pages."""
     pages = parsed.select("host", F.explode(F.array_distinct(F.transform("texts", lambda x: x["branch"]))).alias("branch")).groupBy("host", "branch").agg(F.count("*").alias("n_pages"))
     base = F.ln(F.greatest(F.lit(2), F.col("n_pages")))
-    content = _entropies(parsed, "texts").select("host", "branch", "kinds", "logs")
-    look = _entropies(parsed, "styles").select("host", "branch", (F.ln("n") - F.col("klogs") / F.col("n")).alias("entropy"))
-    both = pages.join(content, ["host", "branch"]).join(look, ["host", "branch"], "left")
+    texts = _counts(parsed, "texts")
+    content = _entropies(texts).select("host", "branch", "kinds", "logs")
+    look = _entropies(_counts(parsed, "styles")).select("host", "branch", (F.ln("n") - F.col("klogs") / F.col("n")).alias("entropy"))
+    # at most a page's number of blocks, over COMMON, for each branch
+    often = texts.where(F.col("k") >= COMMON * LEAST_PAGES).join(pages, ["host", "branch"]).where(F.col("k") >= COMMON * F.col("n_pages"))
+    often = often.groupBy("host", "branch").agg(F.collect_list("feature").alias("common"))
+    both = pages.join(content, ["host", "branch"]).join(look, ["host", "branch"], "left").join(often, ["host", "branch"], "left")
     by_content = F.greatest(F.lit(0.0), 1 - F.col("logs") / (F.col("kinds") * base))
     by_look = F.least(F.lit(1.0), F.coalesce("entropy", F.lit(0.0)) / base)
     value = F.when(F.col("n_pages") == 1, 1.0).otherwise(GAMMA * by_content + (1 - GAMMA) * by_look)
-    return both.select("host", "branch", "n_pages", value.alias("importance"))
+    return both.select("host", "branch", "n_pages", value.alias("importance"), F.coalesce("common", F.array().cast("array<bigint>")).alias("common"))
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """The main text of every page: page_id, url, text, n_chars.
 
-    A null or empty html, or a page of nothing but menus and the like, has an empty text. Pages of which every undecided block
-    lies on a low branch keep them all, as a host of equal pages would else be emptied. Null urls count as one host. Repeated
+    A null or empty html, or a page of nothing but menus and the like, has an empty text. Pages of which every candidate
+    block would go keep them all, as a host of equal pages would else be emptied. Null urls count as one host. Repeated
     rows each give a row; no rows give none; columns besides page_id, url and html are ignored.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    kind = "array<struct<branch: bigint, {}>>"
-    parsed = rows.mapInArrow(_parsed, f"page_id long, url string, host string, settled boolean, blocks {kind.format('text: string')}, texts {kind.format('feature: bigint')}, styles {kind.format('feature: bigint')}")
+    marks = "array<struct<branch: bigint, feature: bigint>>"
+    parsed = rows.mapInArrow(_parsed, f"page_id long, url string, host string, blocks array<struct<branch: bigint, feature: bigint, text: string>>, texts {marks}, styles {marks}")
     parsed = stored(parsed.withColumn("row", F.monotonically_increasing_id()), "pages")
-    low = style_tree(parsed).where((F.col("importance") < LEAST_IMPORTANCE) & (F.col("n_pages") >= LEAST_PAGES)).select("host", "branch")
-    low = stored(low, "low")  # a scan: the join on a large host's branches can be split
-    # only pages without a main region ask the tree
-    asked = parsed.where("NOT settled").select("row", "host", F.explode(F.array_distinct(F.transform("blocks", lambda b: b["branch"]))).alias("branch"))
-    removed = asked.join(low, ["host", "branch"]).groupBy("row").agg(F.collect_set("branch").alias("gone"))
-    out = F.array_join(F.transform("blocks", lambda b: b["text"]), "\n")
-    plain = parsed.where("settled").select("page_id", "url", out.alias("text"))
-    rest = parsed.where("NOT settled").select("row", "page_id", "url", "blocks").join(removed, "row", "left")
-    kept = F.filter("blocks", lambda b: ~F.array_contains(F.col("gone"), b["branch"]))
-    rest = rest.withColumn("blocks", F.when(F.col("gone").isNull() | (F.size(kept) == 0), F.col("blocks")).otherwise(kept)).select("page_id", "url", out.alias("text"))
-    return plain.unionByName(rest).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+    tree = style_tree(parsed).where(F.col("n_pages") >= LEAST_PAGES).withColumn("whole", F.col("importance") < LEAST_IMPORTANCE)
+    low = stored(tree.where(F.col("whole") | (F.size("common") > 0)).select("host", "branch", "whole", "common"), "low")  # a scan: the join on a large host's branches can be split
+    asked = parsed.select("row", "host", F.explode(F.array_distinct(F.transform("blocks", lambda b: b["branch"]))).alias("branch"))
+    removed = asked.join(low, ["host", "branch"]).groupBy("row").agg(F.collect_list(F.struct("branch", "whole", "common")).alias("gone"))
+    removed = stored(removed, "gone")  # few pages or many: its size decides how it is joined
+    kept = F.filter("blocks", lambda b: ~F.exists("gone", lambda g: (g["branch"] == b["branch"]) & (g["whole"] | F.array_contains(g["common"], b["feature"]))))
+    out = parsed.select("row", "page_id", "url", "blocks").join(removed, "row", "left").withColumn("left", F.when(F.col("gone").isNotNull(), kept))
+    chosen = F.when(F.size("left") > 0, F.col("left")).otherwise(F.col("blocks"))
+    out = out.select("page_id", "url", F.array_join(F.transform(chosen, lambda b: b["text"]), "\n").alias("text"))
+    return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))

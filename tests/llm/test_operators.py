@@ -106,6 +106,15 @@ def test_style_tree_removes_what_all_pages_of_a_host_share(spark):
     assert got[100, None] == ("", 0) and got[102, "x"] == ("", 0) and got[101, "http://one.example/"][0].startswith("Welcome")
 
 
+def test_style_tree_decides_inside_a_main_region_too(spark):
+    body = lambda i: f'<html><body><article><h1>Title {i}</h1><div>Read our other pages</div><p>Story number {i}</p><p>Join our club</p><p>More of {i * 13}</p></article></body></html>'
+    rows = [(i, f"http://h.example/{i}", body(i)) for i in range(8)] + [(20, "http://one.example/", body(5))] + [(30 + i, "http://same.example/", body(1)) for i in range(5)]
+    got = {r["page_id"]: r["text"] for r in extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Title {i}\nStory number {i}\nMore of {i * 13}" for i in range(8))
+    # one page says nothing about its host, and a host of equal pages isn't emptied
+    assert "Join our club" in got[20] and got[30].startswith("Title 1\nRead our")
+
+
 def test_extraction_of_the_sample(spark):
     import html
 
