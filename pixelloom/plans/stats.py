@@ -273,8 +273,7 @@ def select_elbow(spark, sf_dir):
 
 @query()
 def select_rfe(spark, sf_dir):
-    rows = S.stratified_sample(feature_rows(spark, sf_dir), 5000)
-    chosen = X.rfe(rows, FEATURES, 4, step=2, iterations=30)
+    chosen = X.rfe(feature_rows(spark, sf_dir), FEATURES, 4, step=2, iterations=30)
     return spark.createDataFrame([(i, FEATURES[i]) for i in chosen], "idx long, feature string")
 
 
