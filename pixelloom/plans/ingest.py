@@ -50,11 +50,16 @@ def fold_partitions(spark, sf_dir):
 
 @query("SELECT vec_id AS row, CAST(e AS DOUBLE) AS first FROM (SELECT vec_id, embedding[1] AS e FROM embeddings) WHERE vec_id < 50")
 def npy_round_trip(spark, sf_dir):
-    """Fifty vectors written as .npy files and read back by the binary reader."""
+    """Every vector is written and read back; the statement asks for fifty of them."""
+    return npy_round_trip_all(spark, sf_dir).where("row < 50")
+
+
+@query("SELECT vec_id AS row, CAST(embedding[1] AS DOUBLE) AS first FROM embeddings")
+def npy_round_trip_all(spark, sf_dir):
+    """Every vector written into .npy files by the executors and read back by the binary reader."""
     path = _folder(spark, "npy")
-    rows = read(spark, sf_dir, "embeddings").where("vec_id < 50").select("vec_id", "embedding")
-    npy.write_npy(rows, "vec_id", "embedding", path)
-    return npy.read_npy(spark, path).select(F.col("key").cast("long").alias("row"), F.get("values", F.lit(0)).alias("first"))
+    npy.write_npy_rows(read(spark, sf_dir, "embeddings"), "vec_id", "embedding", path)
+    return npy.read_npy_rows(spark, path).select(F.col("key").cast("long").alias("row"), F.get("values", F.lit(0)).alias("first"))
 
 
 @query("SELECT 1::BIGINT AS rank, 0::BIGINT AS idx, 'od_R' AS name UNION ALL SELECT 2, 85, 'entropy'")

@@ -6,9 +6,10 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions.pixels import rounded as R
+from ..operators import sampling as S
 from ..operators import stencil as N
-from ..operators.labels import disk
-from ..sources.derived import SIDE, gray_tiles, with_sql
+from ..operators.labels import binary_labels, disk
+from ..sources.derived import SIDE, gray_tiles, mask_pixels, with_sql
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -113,6 +114,14 @@ def glcm_sampled(spark, sf_dir):
     return out.select("image_id", "pixel_idx", *(R(F.col(f"glcm_{p}"), 6).alias(f"glcm_{p}") for p in N.GLCM_PROPS))
 
 
+@query()
+def glcm_boundary_sample(spark, sf_dir):
+    """Co-occurrence at the pixels that the boundary sample draws."""
+    drawn = S.boundary_sample(binary_labels(mask_pixels(spark, sf_dir)), per_class=5, boost=3.0, distance=2, width=SIDE)
+    out = N.sampled_glcm(gray_tiles(spark, sf_dir), drawn.select("image_id", "pixel_idx"), SIDE, SIDE, half=7)
+    return out.select("image_id", "pixel_idx", *(R(F.col(f"glcm_{p}"), 6).alias(f"glcm_{p}") for p in N.GLCM_PROPS))
+
+
 @query(with_sql("gray") + """, b AS (SELECT * FROM gray WHERE v >= 150)
 SELECT g.image_id, g.r, g.c, round(coalesce(sqrt(min((g.r - b.r) * (g.r - b.r) + (g.c - b.c) * (g.c - b.c))), 0), 5) + 0.0 AS distance FROM gray g LEFT JOIN b ON b.image_id = g.image_id GROUP BY 1, 2, 3""")
 def distance_transform(spark, sf_dir):
