@@ -165,15 +165,15 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, most: int =
     order = F.md5(F.col("doc_id").cast("string"))
     chosen = marks.select("doc_id", "q", order.alias("o")).orderBy("o", "doc_id").limit(rows)
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("t")).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
-    found, size, last = stored(found, "labelled"), 0, None
+    found, size, fits = stored(found, "labelled"), 0, []
     for r in sorted(found.select("o", "doc_id", F.octet_length("t").alias("n")).collect()):
-        size += r["n"]
-        if size > most and last is not None:
-            break
-        last = (r["o"], r["doc_id"])
-    if last is None:
+        if size + r["n"] <= most:  # else the row is skipped, and shorter ones go on
+            size += r["n"]
+            fits.append((r["doc_id"],))
+    if not fits:
         return NaiveBayesSvm.fit([], [])
-    picked = sorted(found.where((F.col("o") < last[0]) | (F.col("o") == last[0]) & (F.col("doc_id") <= last[1])).select("o", "doc_id", "t", "q").collect())
+    ids = found.sparkSession.createDataFrame(fits, "doc_id long")
+    picked = sorted(found.join(F.broadcast(ids), "doc_id").select("o", "doc_id", "t", "q").collect())
     texts, y = [r["t"] for r in picked], [r["q"] for r in picked]
     return NaiveBayesSvm.fit(texts, y)
 

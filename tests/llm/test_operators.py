@@ -132,6 +132,16 @@ def test_quality_separates_held_out_rows(spark):
     assert np.mean([(r["score"] >= 0.3) == (r["quality"] == 1) for r in got]) > 0.95 and all(0 <= r["score"] <= 1 for r in got)
 
 
+def test_a_long_labelled_text_does_not_end_the_fitting_rows(spark, monkeypatch):
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5]
+    first = min(ids, key=lambda i: hashlib.md5(str(i).encode()).hexdigest())
+    d = spark.createDataFrame([(i, ("good words " if i % 2 else "bad stuff ") * (5000 if i == first else 3)) for i in ids], "doc_id long, text string")
+    seen = []
+    monkeypatch.setattr(quality.NaiveBayesSvm, "fit", lambda texts, y: seen.append((len(texts), set(y))))
+    quality.train(d, spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, quality int"), most=20_000)
+    assert seen == [(len(ids) - 1, {0, 1})]
+
+
 def test_quality_on_awkward_rows(spark):
     labels = spark.createDataFrame([(0, 1), (0, 0), (1, 1), (2, 0), (5, None), (None, 1), (7, 1), (8, 0), (10, 1), (13, 0)], "doc_id long, quality int")
     got = quality.quality_scores(docs(spark), labels).collect()
