@@ -42,3 +42,9 @@ def test_co_occurrence_at_every_drawn_pixel(spark):
     drawn = {(r["image_id"], r["pixel_idx"]) for r in e.queries()["sample_boundary"](spark, DATA).collect()}
     got = {(r["image_id"], r["pixel_idx"]) for r in e.queries()["glcm_boundary_sample"](spark, DATA).collect()}
     assert got == drawn and len({p for _, p in got}) > 1
+
+
+def test_size_sweep_has_every_method_and_the_baseline(spark):
+    got = {r["method"]: r.asDict() for r in models.QUERIES["select_size_sweep"](spark, DATA).collect()}
+    assert set(got) == {"all", "mrmr", "anova", "rfe"} and got["all"]["8"] is not None
+    assert all(got[m][n] is not None for m in ("mrmr", "anova", "rfe") for n in ("2", "4", "6"))
