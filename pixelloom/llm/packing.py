@@ -30,7 +30,7 @@ def _pieces(path: str, room: int, end: int):
     last = end.to_bytes(4, "little")
 
     def run(batches):
-        cache = IdCache(path)
+        cache = IdCache.shared(path)
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
                 out = {f.name: [] for f in _PIECE}

@@ -22,25 +22,26 @@ from .wordbpe import Frequencies, Pretokenizer, _Cache
 
 #: Pre-tokens whose piece counts are broadcast, at most (about 100 bytes each in a worker).
 HEAVY = 100_000
-#: Distinct pre-tokens that a task counts before it hands them on.
-FLUSH = 100_000
+#: Distinct parts that a task counts before it hands their pre-tokens on.
+FLUSH = 150_000
 
 
 def _batch_counts(path: str):
     def run(batches):
-        tokens, counts = Frequencies(path), Counter()
+        tokens = Frequencies(path)
 
         def out():
+            counts = tokens.take()
             # a pre-token that no string can hold (a lone surrogate) doesn't occur: texts come from UTF-8
             return pa.RecordBatch.from_pydict({"piece": list(counts), "freq": pa.array(counts.values(), pa.int64())})
 
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
-                counts.update(tokens.of_many(batch.column(0).slice(a, 256).to_pylist()))
-                if len(counts) > FLUSH:
+                for t in batch.column(0).slice(a, 256).to_pylist():
+                    tokens.add(t)
+                if len(tokens) > FLUSH:
                     yield out()
-                    counts.clear()
-        if counts:
+        if len(tokens):
             yield out()
 
     return run
@@ -69,8 +70,13 @@ def _document_rows(path: str, heavy):
         tokens, known = Pretokenizer(path), heavy.value
 
         def part(p):
-            words = tokens.split(p)
-            return sum(known.get(w, 0) for w in words), tuple(w for w in words if w not in known)
+            total, rest = 0, ()
+            for w in tokens.of_part(p):
+                if (n := known.get(w)) is None:
+                    rest += (w,)
+                else:
+                    total += n
+            return total, rest
 
         cache = _Cache(lambda parts: [part(p) for p in parts], 100_000)
         for batch in batches:

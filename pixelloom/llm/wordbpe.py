@@ -72,49 +72,85 @@ class Pretokenizer:
             return None
         return text.split()
 
+    def of_part(self, part: str) -> list[str]:
+        """The pre-tokens of one of `chunks`' parts. Words, and words with one mark behind, need no pattern."""
+        if part.isalpha():
+            if _DOTTED not in part:
+                return [part.lower()]
+        elif part[-1] in _MARKS and part[:-1].isalpha() and _DOTTED not in part:
+            return [part[:-1].lower(), part[-1]]
+        return self._plain(part)
+
     def encode(self, pieces: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.library.encode_batch(pieces, add_special_tokens=False)]
+        return [e.ids for e in self.library.encode_batch_fast(pieces, add_special_tokens=False)]
+
+
+#: A letter whose lower case isn't a letter alone; marks that are a pre-token of their own behind a letter.
+_DOTTED, _MARKS = "\u0130", ".,;:!?"
 
 
 class _Cache:
-    """A dict made by `many` from the keys that it lacks; emptied when it would pass `most` entries."""
+    """A dict made by `many` from the keys that it lacks. Of two generations the older goes when the younger has `most` entries."""
 
     def __init__(self, many, most: int):
         self.known: dict = {}
+        self._old: dict = {}
         self._many, self._most = many, most
 
-    def of(self, keys: list[str]) -> dict:
+    def of(self, keys) -> dict:
         known = self.known
-        if new := list({k for k in keys if k not in known}):
+        if new := {k for k in keys if k not in known}:
             if len(known) + len(new) > self._most:
-                known.clear()
-                new = list(set(keys))
-            known.update(zip(new, self._many(new)))
+                self._old, self.known = known, (known := {})
+                new = set(keys)
+            old = self._old
+            known.update((k, old[k]) for k in new if k in old)
+            if new := [k for k in new if k not in old]:
+                known.update(zip(new, self._many(new)))
         return known
 
 
 class IdCache:
-    """Ids of whole texts as little-endian uint32 bytes through a bounded cache of white-space separated parts."""
+    """Ids of whole texts as little-endian uint32 bytes through a bounded cache of white-space separated parts.
+
+    Parts that differ in case or in a mark behind share the ids of their word, which the library makes once.
+    """
 
-    def __init__(self, path: str, most: int = 500_000):
+    _of_path: dict[str, IdCache] = {}
+
+    def __init__(self, path: str, most: int = 300_000):
         self._tokens = Pretokenizer(path)
         self._ids = _Cache(self._encode, most)
+        self._words = _Cache(self._encode_words, most)
         known = self._tokens.library.get_vocab(with_added_tokens=False)
         self._ends = np.zeros(1 + max(self._tokens.library.get_vocab().values()), bool)
         self._ends[[i for t, i in known.items() if t.endswith("</w>")]] = True
+        self._mark = {m: self._whole(m) for m in _MARKS}
+
+    @staticmethod
+    def shared(path: str) -> IdCache:
+        """One for all tasks of a worker process."""
+        if path not in IdCache._of_path:
+            IdCache._of_path[path] = IdCache(path)
+        return IdCache._of_path[path]
 
     def _encode(self, parts: list[str]) -> list[bytes]:
-        """Ids of parts without white space. Many are encoded as one text, whose ids are cut where words end."""
+        split = [self._tokens.of_part(p) for p in parts]
+        words = self._words.of({w for ws in split for w in ws if w not in self._mark})
+        mark = self._mark
+        return [words[ws[0]] if len(ws) == 1 and ws[0] not in mark else b"".join([mark[w] if w in mark else words[w] for w in ws]) for ws in split]
+
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """Ids of pre-tokens. Many are encoded as one text, whose ids are cut where words end."""
         out: list[bytes] = []
-        for k in range(0, len(parts), 2000):
-            some = parts[k : k + 2000]
-            ids = np.array(self._tokens.library.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
-            words = np.flatnonzero(self._ends[ids]) + 1
-            upto = np.cumsum([len(self._tokens.split(p)) for p in some])
-            if len(words) != upto[-1]:  # an id that doesn't end a word: each by itself
-                out += [self._whole(p) for p in some]
+        for k in range(0, len(words), 2000):
+            some = words[k : k + 2000]
+            ids = np.array(self._tokens.library.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self._ends[ids]) + 1
+            if len(ends) != len(some):  # an id that doesn't end a word: each by itself
+                out += [self._whole(w) for w in some]
                 continue
-            raw, cuts = ids.tobytes(), [0, *(4 * words[upto - 1]).tolist()]
+            raw, cuts = ids.tobytes(), [0, *(4 * ends).tolist()]
             out += [raw[i:j] for i, j in zip(cuts, cuts[1:])]
         return out
 
@@ -125,30 +161,34 @@ class IdCache:
         parts = self._tokens.chunks(text)
         if parts is None:
             return self._whole(text)
-        known = self._ids.known
         try:
-            return b"".join([known[p] for p in parts])
+            return b"".join(map(self._ids.known.__getitem__, parts))
         except KeyError:
-            known = self._ids.of(parts)
-            return b"".join([known[p] for p in parts])
+            return b"".join(map(self._ids.of(parts).__getitem__, parts))
 
 
 class Frequencies:
-    """Pre-token frequencies of whole texts, many at a time."""
+    """Pre-token frequencies of whole texts: white-space separated parts are counted first and split when they are taken."""
 
-    def __init__(self, path: str, most: int = 100_000):
+    def __init__(self, path: str):
         self._tokens = Pretokenizer(path)
-        self._split = _Cache(lambda parts: [self._tokens.split(p) for p in parts], most)
-
-    def of_many(self, texts: list[str]) -> dict[str, int]:
-        counted, out = Counter(), Counter()
-        for text in texts:
-            if (parts := self._tokens.chunks(text)) is None:
-                out.update(self._tokens.split(text))
-            else:
-                counted.update(parts)
-        known = self._split.of(counted)
-        for p, n in counted.items():
-            for w in known[p]:
-                out[w] += n
+        self._parts: Counter = Counter()
+        self._words: Counter = Counter()
+
+    def __len__(self) -> int:
+        return len(self._parts) + len(self._words)
+
+    def add(self, text: str) -> None:
+        if (parts := self._tokens.chunks(text)) is None:
+            self._words.update(self._tokens.split(text))
+        else:
+            self._parts.update(parts)
+
+    def take(self) -> dict[str, int]:
+        """The frequencies since the last call."""
+        out, parts = self._words, self._parts
+        self._words, self._parts = Counter(), Counter()
+        for p, n in parts.items():
+            for w in self._tokens.of_part(p):
+                out[w] = out.get(w, 0) + n
         return out
