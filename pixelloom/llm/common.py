@@ -46,11 +46,11 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def stored(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+def stored(df: DataFrame, name: str, path: str | None = None, compression: str = "snappy") -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = path or f"{shared_dir(spark)}/pixelloom/{name}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

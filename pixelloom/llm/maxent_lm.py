@@ -1,21 +1,26 @@
 """Language-model scoring: a hashed maximum-entropy model with a class-factored softmax.
 
-A token's probability is P(class | context) * P(token | class). Classes: one for each of the most frequent tokens (and the
-end token), and clusters of word endings by the letters of the words that have them; every string, seen or not, has a
-class. P(class | context) is a softmax over hashed features of the context: the word before (2-gram), the two words
-before (3-gram), the word before that one alone (skip-gram), and a bias. Within a class, tokens have their smoothed training
-frequencies, and each class keeps mass for what it hasn't seen, so that the model is proper over all texts.
-
-Training: one scan counts all training tokens. Each gradient round is a scan in which every task sums the gradient of its
-tokens in numpy batches, by hashed feature; Spark adds the sparse rows of all tasks; the weights, whose number is fixed, are
-updated on the driver and broadcast. The first update starts from the smoothed log-ratios of the empirical to the prior class
-frequencies, which the gradient of the untrained model holds.
-
-Scoring: words above a frequency cutoff, a bounded number, are broadcast; the counts of all others come by a shuffle join.
+The vocabulary is a tree of softmaxes of FAN outcomes: the root chooses one of FAN classes of words that are spelt alike, and
+within a class a Huffman tree leads to each frequent word, or to one of the class's leaves for rare words, in which words have
+their smoothed training frequencies. Every string, seen or not, has a place, so that the model is proper over all texts.
+
+Each softmax, at the root and within classes, adds to its prior log-frequencies the weights of three hashed features of the
+context: the word before (2-gram), the two words before (3-gram), and the word before that one alone (skip-gram). A node of
+the tree has a share of the weight table by its number of training tokens; the table grows with the training tokens.
+
+1. One scan counts all training tokens. 2. One scan turns texts into word codes, which are stored; later scans are numpy only.
+3. A scan counts outcomes by feature; from these the weights start as smoothed log-ratios to the prior. 4. An epoch of gradient
+rounds: each is a scan over another part of the training rows, in which every task sums the gradient of its tokens (observed less
+expected outcomes) by hashed feature; Spark adds the tasks' blocks of the table; the driver updates the weights, which the next
+round gets by broadcast. 5. A scan scores all rows in sparse numpy batches, and the counts of rare words come by a shuffle join.
+
+Texts of any length are scored with their whole context: a word's features don't depend on batches.
 """
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -23,16 +28,19 @@ from pyspark.sql import functions as F
 
 from .common import FOLD, frequency_cutoff, stored, text_or_empty
 
-#: Classes of single tokens, of endings; hashed features; words whose counts are broadcast; smoothing of counts.
-SINGLES, CLUSTERS, BITS, HEAVY, ALPHA = 16, 16, 15, 100_000, 0.1
-CLASSES = SINGLES + CLUSTERS
+#: Outcomes of a softmax; leaves for rare words; smoothing of counts; words whose counts and codes are broadcast, at most.
+FAN, RARE, ALPHA, HEAVY = 16, 256, 0.1, 200_000
+#: The weight table has a row for every 2^THIN training tokens: 2^LEAST_BITS rows at least, and at most 2^MOST_BITS, what a worker holds (64 MB).
+THIN, LEAST_BITS, MOST_BITS = 3, 10, 20
 #: The end token: no word has white space in it.
 END = b"\n"
-#: Rounds of gradient updates after the first; strength of smoothing, of the first update and of later ones.
-ROUNDS, KAPPA, FIRST, RATE = 1, 20.0, 0.6, 1.0
-#: Tokens of one numpy batch, distinct words that a task counts or remembers.
-BATCH, FLUSH, CACHE = 1 << 16, 100_000, 100_000
-_U = np.uint64
+#: Gradient rounds of an epoch, smoothing, the start's share of the log-ratios, the rate of updates, the largest weight.
+ROUNDS, KAPPA, FIRST, RATE, MOST_WEIGHT = 2, 20.0, 0.6, 0.25, 8.0
+#: Tokens of one numpy batch, distinct words that a task counts or remembers, rows of the weight table that travel as one.
+BATCH, FLUSH, CACHE, BLOCK = 1 << 14, 200_000, 100_000, 256
+#: Training tokens of one task of a gradient round.
+TASK = 1 << 24
+_U, _START = np.uint32, np.int32(0x7FFFFFFF)
 
 
 def words_of(text: str) -> list[bytes]:
@@ -69,52 +77,64 @@ def token_counts(docs: DataFrame) -> DataFrame:
     return docs.select("t").mapInArrow(_counted, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def _ending(word: bytes) -> bytes:
-    return word[-2:]
+def _letters(words: list[bytes]) -> np.ndarray:
+    """(words, 64): how often each word has bytes of each kind."""
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    raw = np.frombuffer(b"".join(words), np.uint8)
+    return np.bincount(np.repeat(np.arange(len(words)), size) * 64 + (raw & 63), minlength=64 * len(words)).reshape(-1, 64).astype(np.float32)
 
 
-def cluster_endings(words: list[bytes], counts: list[int], k: int = CLUSTERS) -> dict[bytes, int]:
-    """Ending -> cluster, by weighted spherical k-means on the letters of the words that have the ending."""
-    rows: dict[bytes, np.ndarray] = {}
-    for w, c in zip(words, counts):
-        v = rows.setdefault(_ending(w), np.zeros(256))
-        v += np.sqrt(c) * np.bincount(np.frombuffer(w, np.uint8), minlength=256)
-    if not rows:
-        return {}
-    ends = sorted(rows)
-    x = np.stack([rows[e] for e in ends])
-    weight = x.sum(1)
-    # letters that tell texts apart count more than those that all have
-    x = x / np.maximum(weight[:, None], 1e-9) / np.sqrt(np.maximum((x.sum(0) / x.sum())[None], 1e-6))
+def classes_of(words: list[bytes], counts: np.ndarray, k: int = FAN) -> np.ndarray:
+    """A class below k for each word, by weighted spherical k-means on letters."""
+    if not words:
+        return np.zeros(0, np.int64)
+    x, weight = _letters(words), np.sqrt(counts).astype(np.float32)
+    mean = (x * weight[:, None]).sum(0)
+    x /= np.sqrt(np.maximum(mean / max(mean.sum(), 1e-9), 1e-5))  # letters that few words have tell more
     x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-    centre = x[np.argsort(-weight, kind="stable")[:1]]
-    while len(centre) < min(k, len(ends)):  # the next seed: the heaviest for its distance from those before
+    centre = x[:1]
+    while len(centre) < min(k, len(words)):  # the next seed: the heaviest for its distance from those before
         centre = np.vstack([centre, x[np.argmax(weight * (1 - (x @ centre.T).max(1)).clip(0))]])
-    for _ in range(20):
+    for _ in range(8):
         own = (x @ centre.T).argmax(1)
-        fresh = np.zeros_like(centre)
-        np.add.at(fresh, own, x * weight[:, None])
+        fresh = np.stack([weight[own == c] @ x[own == c] for c in range(len(centre))])
         size = np.linalg.norm(fresh, axis=1, keepdims=True)
         centre = np.where(size > 0, fresh / np.maximum(size, 1e-12), centre)
-    return {e: int(c) for e, c in zip(ends, (x @ centre.T).argmax(1))}
+    return (x @ centre.T).argmax(1)
+
+
+def _ending(word: bytes) -> bytes:
+    return word[-2:]
 
 
 class Vocabulary:
-    """What every worker knows of words: codes of frequent words, classes of all."""
+    """What every worker knows of words: codes of frequent words (0 and up), rare leaves of all others.
+
+    A rare word's code is negative: its leaf and 23 bits of a hash, by which it is told apart as context.
+    """
 
-    def __init__(self, heavy: dict[bytes, int], endings: dict[bytes, int]):
-        self.endings = endings
-        order = sorted(heavy, key=lambda w: (-heavy[w], w))
-        singles = [w for w in order if w != END][: SINGLES - 1]
-        self.singles = {END: 0} | {w: i + 1 for i, w in enumerate(singles)}
-        # codes: a rare word's is its class, a frequent word's comes after those
-        self.codes = {w: CLASSES + i for i, w in enumerate(order)}
-        self.classes = np.concatenate((np.arange(CLASSES), np.array([self.class_of(w) for w in order], int))).astype(np.int32)
-        self.count = np.concatenate((np.zeros(CLASSES), np.array([heavy[w] for w in order], float)))
+    def __init__(self, heavy: dict[bytes, int]):
+        import zlib
 
-    def class_of(self, word: bytes) -> int:
-        found = self.singles.get(word)
-        return SINGLES + self.endings.get(_ending(word), sum(word[-2:]) % CLUSTERS) if found is None else found
+        self._crc = zlib.crc32
+        heavy = heavy if END in heavy else heavy | {END: 0}
+        self.words = sorted(heavy, key=lambda w: (-heavy[w], w))
+        self.count = np.array([heavy[w] for w in self.words], float)
+        self.codes = {w: i for i, w in enumerate(self.words)}
+        self.classes = classes_of(self.words, self.count + ALPHA)
+        votes: dict[bytes, np.ndarray] = {}
+        for w, c, n in zip(self.words, self.classes, self.count):
+            votes.setdefault(_ending(w), np.zeros(FAN))[c] += n + ALPHA
+        self.endings = {e: int(v.argmax()) for e, v in votes.items()}
+
+    def leaf_of(self, word: bytes) -> int:
+        """The leaf of a word that isn't frequent: its ending's class, and one of the class's leaves."""
+        end = _ending(word)
+        at = self._crc(end)
+        return self.endings.get(end, at >> 8 & 15) * (RARE // FAN) + at % (RARE // FAN)
+
+    def code_of(self, word: bytes) -> int:
+        return -1 - (self.leaf_of(word) | (self._crc(word) & 0x7FFFFF) << 8)
 
 
 class Coder:
@@ -127,213 +147,335 @@ class Coder:
     def __call__(self, words: list[bytes]) -> np.ndarray:
         known = self._known
         try:
-            return np.array([known[w] for w in words], np.int32)
+            return np.fromiter(map(known.__getitem__, words), np.int32, len(words))
         except KeyError:
-            if len(known) + len(words) > self._most:
+            fresh = {w for w in words if w not in known}
+            if len(known) + len(fresh) > self._most:
                 known.clear()
                 known.update(self._v.codes)
-            for w in words:
-                if w not in known:
-                    known[w] = self._v.class_of(w)
-            return np.array([known[w] for w in words], np.int32)
-
-
-_START = 1 << 30
-
-
-def _bucket(a: np.ndarray, b: np.ndarray, salt: int) -> np.ndarray:
-    x = (a.astype(_U) * _U(0x9E3779B97F4A7C15) + b.astype(_U) + _U(salt)) * _U(0xC2B2AE3D27D4EB4F)
-    x ^= x >> _U(29)
-    return (x * _U(0x9E3779B97F4A7C15) >> _U(64 - BITS)).astype(np.int32)
+                fresh = {w for w in words if w not in known}
+            known.update((w, self._v.code_of(w)) for w in fresh)
+            return np.fromiter(map(known.__getitem__, words), np.int32, len(words))
+
+
+def leaves(codes: np.ndarray) -> np.ndarray:
+    """The leaf of each code: rare leaves come first, then frequent words."""
+    return np.where(codes >= 0, codes + RARE, (-1 - codes) & (RARE - 1))
+
+
+class Tree:
+    """Softmaxes (nodes) on the way to each leaf. weight: training mass of each leaf, all over 0; rows: of the weight table."""
+
+    def __init__(self, classes: np.ndarray, weight: np.ndarray, rows: int):
+        n = len(weight)
+        parent, slot = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        parents, slots, mass = [-1], [0], [float(weight.sum())]  # of nodes; 0 is the root
+        self.bias = [np.full(FAN, -np.inf)]
+        for c in range(FAN):
+            heap = [(float(weight[x]), int(x)) for x in np.flatnonzero(classes == c)]
+            heapq.heapify(heap)
+            take = (len(heap) - 2) % (FAN - 1) + 2
+            while True:
+                some = [heapq.heappop(heap) for _ in range(min(take, len(heap)))]
+                at, take, total = len(parents), FAN, sum(w for w, _ in some)
+                bias = np.full(FAN, -np.inf)
+                for k, (w, x) in enumerate(some):
+                    if x < n:
+                        parent[x], slot[x] = at, k
+                    else:
+                        parents[x - n], slots[x - n] = at, k
+                    bias[k] = np.log(w / total)
+                parents.append(0)
+                slots.append(c)
+                mass.append(total)
+                self.bias.append(bias)
+                if not heap:
+                    break
+                heapq.heappush(heap, (total, n + at))
+            self.bias[0][c] = np.log(total / mass[0])
+        self.bias = np.stack(self.bias).astype(np.float32)
+        self.depth, self.start = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        nodes, outcomes = [], []
+        for x in range(n):
+            at, k, self.start[x] = int(parent[x]), int(slot[x]), len(nodes)
+            while at >= 0:
+                nodes.append(at)
+                outcomes.append(k)
+                at, k = parents[at], slots[at]
+            self.depth[x] = len(nodes) - self.start[x]
+        self.nodes, self.outcomes = np.array(nodes, np.int32), np.array(outcomes, np.int8)
+        share = np.maximum(1, np.array(mass) / (weight @ self.depth) * rows).astype(np.int64)
+        self.size, self.base = share.astype(np.uint64), np.concatenate(([0], np.cumsum(share)[:-1])).astype(np.uint64)
+        self.rows = int(share.sum())
+        self.owner = np.repeat(np.arange(len(share)), share)  # the node of each row of the table
+
+
+def _hash(x: np.ndarray) -> np.ndarray:
+    x ^= x >> _U(15)
+    x *= _U(0x2C1B3C6D)
+    x ^= x >> _U(12)
+    x *= _U(0x297A2D39)
+    x ^= x >> _U(15)
+    return x
 
 
 def contexts(codes: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """(3, n) feature numbers of every token. first: where texts begin."""
+    """(3, n) context hashes of every token: 2-gram, 3-gram, skip-gram. first: where texts begin."""
     one = np.concatenate(([_START], codes[:-1]))
     one[first] = _START
     two = np.concatenate(([_START], one[:-1]))
     two[first] = _START
-    zero = np.zeros(1, np.int32)
-    return np.stack([_bucket(one, zero, 1), _bucket(one, two, 2), _bucket(two, zero, 3)])
-
-
-def _softmax(weights: np.ndarray, bias: np.ndarray, at: np.ndarray) -> np.ndarray:
-    z = weights[at[0]]
-    z += weights[at[1]]
-    z += weights[at[2]]
-    z += bias
-    z -= z.max(1, keepdims=True)
-    np.exp(z, out=z)
-    z /= z.sum(1, keepdims=True)
-    return z
-
-
-def _batched(texts, coder: Coder):
-    """Numpy batches of about BATCH tokens: codes, starts of texts, (text number, tokens of it) - long texts in parts."""
-    codes, first, parts, n = [], [], [], 0
-    for k, t in texts:
-        c = coder([*words_of(t), END])
-        for a in range(0, len(c), BATCH):
-            part = c[a : a + BATCH]
-            # a later part of a long text starts anew: its first token has the start's context
-            codes.append(part)
-            first.append(n)
-            parts.append((k, len(part)))
-            n += len(part)
-            if n >= BATCH:
-                yield np.concatenate(codes), np.array(first), parts
-                codes, first, parts, n = [], [], [], 0
-    if n:
-        yield np.concatenate(codes), np.array(first), parts
-
-
-def _gradient(vocabulary, weights):
-    fields = ["feature", "n", *(f"g{c}" for c in range(CLASSES))]
+    one, two = one.view(_U) * _U(0x9E3779B1), two.view(_U) * _U(0x85EBCA77)
+    return np.stack([_hash(one + _U(1)), _hash(one + two + _U(2)), _hash(two + _U(3))])
+
+
+class Visits:
+    """The softmaxes that a run of tokens passes: token, node, outcome, and the table's rows of the three features."""
+
+    def __init__(self, tree: Tree, codes: np.ndarray, hashes: np.ndarray):
+        leaf = leaves(codes)
+        depth = tree.depth[leaf]
+        ends = np.cumsum(depth)
+        at = np.repeat(tree.start[leaf] - (ends - depth), depth) + np.arange(ends[-1])
+        self.token = np.repeat(np.arange(len(codes)), depth)
+        self.node, self.outcome = tree.nodes[at], tree.outcomes[at]
+        size, base = tree.size[self.node], tree.base[self.node]
+        self.rows = [((h.astype(np.uint64)[self.token] * size >> np.uint64(32)) + base).astype(np.int64) for h in hashes]
+
+    def logits(self, tree: Tree, weights: np.ndarray) -> np.ndarray:
+        z = tree.bias[self.node]
+        for r in self.rows:
+            z += weights.take(r, axis=0)
+        return z
+
+
+def _runs(texts, batch: int):
+    """From arrays of codes: (codes, context hashes, number of the text) of runs of at most `batch` tokens. Contexts are those of
+    the whole text, also where a run begins inside it."""
+    held, n = [], 0
+
+    def out():
+        codes = np.concatenate([c for _, c in held])
+        size = np.array([len(c) for _, c in held])
+        hashes, own = contexts(codes, np.concatenate(([0], np.cumsum(size)[:-1]))), np.repeat([k for k, _ in held], size)
+        for a in range(0, len(codes), batch):
+            yield codes[a : a + batch], hashes[:, a : a + batch], own[a : a + batch]
+
+    for k, c in texts:
+        held.append((k, c))
+        n += len(c)
+        if n >= batch:
+            yield from out()
+            held, n = [], 0
+    if held:
+        yield from out()
+
+
+def _codes(column, rows: int):
+    return ((k, np.frombuffer(c.as_buffer(), np.int32)) for k, c in zip(range(rows), column))
+
+
+def _coded(vocabulary):
+    """A row per text: its codes, its tokens' number, and the rare words that the join has to look up."""
 
     def run(batches):
-        v, (w, bias) = vocabulary.value, weights.value
+        v = vocabulary.value
         coder = Coder(v)
-        total, seen = np.zeros((CLASSES, 1 << BITS)), np.zeros(1 << BITS)
         for batch in batches:
-            texts = ((None, t.as_py()) for t in batch.column(0))
-            for codes, first, _ in _batched(texts, coder):
-                at = contexts(codes, first)
-                own = v.classes[codes]
-                if w is not None:
-                    d = _softmax(w, bias, at)
-                    d[np.arange(len(own)), own] -= 1  # expected classes less the observed one
-                for f in at:
-                    if w is None:
-                        np.add.at(total.reshape(-1), own.astype(np.int64) << BITS | f, 1.0)
-                        seen += np.bincount(f, minlength=1 << BITS)
-                    else:
-                        order = np.argsort(f, kind="stable")
-                        at0 = np.flatnonzero(np.diff(f[order], prepend=-1))
-                        total[:, f[order[at0]]] -= np.add.reduceat(d[order], at0, axis=0).T
-                        seen[f[order[at0]]] += np.diff(at0, append=len(f))
-        if w is None:  # the same prior for every token
-            total -= np.exp(bias)[:, None] * seen
-        keep = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(keep.astype(np.int32)), pa.array(seen[keep]), *(pa.array(total[c, keep].astype(np.float32)) for c in range(CLASSES))], names=fields)
+            for a in range(0, batch.num_rows, 256):
+                part = batch.slice(a, 256)
+                codes, rare = [], []
+                for t in part.column(3).to_pylist():
+                    words = words_of(t)
+                    words.append(END)
+                    c = coder(words)
+                    codes.append(c.tobytes())
+                    rare.append([words[i] for i in np.flatnonzero(c < 0).tolist()])
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(codes, pa.binary()), pa.array(rare, pa.list_(pa.binary()))], names=["row", "doc_id", "held_out", "codes", "rare"])
 
     return run
 
 
-def gradient(docs: DataFrame, vocabulary, weights) -> tuple[np.ndarray, np.ndarray]:
-    """Sums over all training tokens by feature: how often it occurs, and the gradient. 2^BITS rows at most reach the driver."""
-    shape = "feature int, n double, " + ", ".join(f"g{c} float" for c in range(CLASSES))
-    rows = docs.select("t").mapInArrow(_gradient(vocabulary, docs.sparkSession.sparkContext.broadcast(weights)), shape)
-    table = rows.groupBy("feature").agg(F.sum("n").alias("n"), *(F.sum(f"g{c}").cast("float").alias(f"g{c}") for c in range(CLASSES))).toArrow()
-    n, g = np.zeros(1 << BITS), np.zeros((1 << BITS, CLASSES))
-    at = table.column("feature").to_numpy()
-    n[at] = table.column("n").to_numpy()
-    for c in range(CLASSES):
-        g[at, c] = table.column(f"g{c}").to_numpy()
-    return n, g
+def _packed(x: np.ndarray) -> bytes:
+    """The upper halves of 32-bit floats, rounded: sums of a task travel with three digits; whole numbers up to 256 are exact."""
+    return ((x.view(_U) + _U(0x8000)) >> _U(16)).astype(np.uint16).tobytes()
+
 
+def _unpacked(raw) -> np.ndarray:
+    return (np.frombuffer(raw, np.uint16).astype(_U) << _U(16)).view(np.float32)
 
-def _scores(vocabulary, weights, mass):
-    """For every row: its sums over frequent words, and a row for each distinct rare word."""
-    names = ["row", "doc_id", "held_out", "n_tokens", "known", "counts", "shape", "word", "freq"]
+
+def _blocks(table: np.ndarray):
+    """(block, binary) batches of a table's rows, BLOCK rows in each; blocks of zeros are left out."""
+    at = [b for b in range(0, len(table), BLOCK) if table[b : b + BLOCK].any()]
+    for k in range(0, len(at), 256):
+        some = at[k : k + 256]
+        yield pa.RecordBatch.from_arrays([pa.array([b // BLOCK for b in some], pa.int32()), pa.array([_packed(table[b : b + BLOCK]) for b in some], pa.binary())], names=["block", "held"])
+
+
+def _gathered(tree, weights):
+    """Sums over a task's tokens by row of the table: outcomes (no weights), or observed less expected outcomes."""
 
     def run(batches):
-        v, (w, bias), z = vocabulary.value, weights.value, mass.value
-        coder = Coder(v)
-        logs = np.where(v.count > 0, np.log10(v.count + ALPHA), 0.0)
+        t, w = tree.value, weights.value if weights else None
+        total = np.zeros((t.rows, FAN), np.float32)
+        flat = total.reshape(-1)
         for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                rows, ids, held, texts = (batch.column(i).slice(a, 256).to_pylist() for i in range(4))
-                shape = np.zeros(len(rows))
-                tokens = np.zeros(len(rows), np.int64)
-                known = np.zeros(len(rows), np.int64)
-                counts = np.zeros(len(rows))
-                out_row, out_word = [], []
-                for codes, first, parts in _batched(enumerate(texts), coder):
-                    own = v.classes[codes]
-                    p = _softmax(w, bias, contexts(codes, first))[np.arange(len(codes)), own]
-                    each = np.log10(np.maximum(p, 1e-30)) - z[own]
-                    k = np.repeat([x[0] for x in parts], [x[1] for x in parts])
-                    shape += np.bincount(k, each, len(rows))
-                    tokens += np.bincount(k, minlength=len(rows))
-                    known += np.bincount(k, codes >= CLASSES, len(rows)).astype(np.int64)
-                    counts += np.bincount(k, logs[codes], len(rows))
-                for r, t in zip(rows, texts):
-                    rest = [x for x in words_of(t) if x not in v.codes]
-                    out_row += [r] * len(rest)
-                    out_word += rest
-                    if END not in v.codes:
-                        out_row.append(r)
-                        out_word.append(END)
-                empty = lambda kind: pa.nulls(m, kind)
-                base = [pa.array(rows, pa.int64()), pa.array(ids, pa.int64()), pa.array(held), pa.array(tokens), pa.array(known), pa.array(counts), pa.array(shape),
-                        pa.array([b"\n%d" % r for r in rows], pa.binary()), pa.array(np.zeros(len(rows), np.int64))]
-                tail = pa.table({"row": pa.array(out_row, pa.int64()), "word": pa.array(out_word, pa.binary())}).group_by(["row", "word"]).aggregate([([], "count_all")])
-                m = len(tail)
-                yield pa.RecordBatch.from_arrays(base, names=names)
-                if m:
-                    tail = tail.combine_chunks()
-                    cols = {n: tail.column(n).combine_chunks() for n in ("row", "word", "count_all")}
-                    yield pa.RecordBatch.from_arrays([cols["row"], empty(pa.int64()), empty(pa.bool_()), empty(pa.int64()), empty(pa.int64()), empty(pa.float64()), empty(pa.float64()), cols["word"], cols["count_all"]], names=names)
+            for codes, hashes, _ in _runs(_codes(batch.column(0), batch.num_rows), BATCH):
+                v = Visits(t, codes, hashes)
+                if w is None:
+                    for r in v.rows:
+                        np.add.at(flat, r * FAN + v.outcome, np.float32(1))
+                    continue
+                z = v.logits(t, w)
+                np.exp(z, out=z)
+                z /= -z.sum(1, keepdims=True)
+                z[np.arange(len(z)), v.outcome] += 1
+                for r in v.rows:
+                    order = np.argsort(r)
+                    ordered = r[order]
+                    at = np.flatnonzero(np.diff(ordered, prepend=-1))
+                    total[ordered[at]] += np.add.reduceat(z[order], at, axis=0)
+        yield from _blocks(total)
+
+    return run
+
+
+def _summed(batches):
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for b, held in zip(batch.column(0).to_pylist(), batch.column(1)):
+            x = _unpacked(held.as_buffer())
+            if b in sums:
+                sums[b] += x
+            else:
+                sums[b] = x.astype(np.float64)
+    for b, x in sums.items():
+        yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([x.astype(np.float32).tobytes()], pa.binary())], names=["block", "held"])
+
+
+def gathered(codes: DataFrame, tree, weights, rows: int, tasks: int) -> np.ndarray:
+    """(rows, FAN) sums over all texts. The table's rows reach the driver, 2^MOST_BITS and one for each node at most."""
+    parts = codes.coalesce(tasks).mapInArrow(_gathered(tree, weights), "block int, held binary")
+    out = np.zeros((rows, FAN), np.float32)
+    for r in parts.repartition("block").mapInArrow(_summed, "block int, held binary").collect():
+        x = np.frombuffer(r["held"], np.float32).reshape(-1, FAN)
+        out[r["block"] * BLOCK : r["block"] * BLOCK + len(x)] = x
+    return out
+
+
+def start_weights(tree: Tree, counts: np.ndarray) -> np.ndarray:
+    """A share of the smoothed log-ratios of a feature's outcomes to the prior of its node."""
+    prior = np.exp(tree.bias[tree.owner])
+    expected = counts.sum(1, keepdims=True) * prior
+    return np.where(prior > 0, FIRST * np.log((counts + KAPPA * prior + 1e-9) / (expected + KAPPA * prior + 1e-9)), 0).clip(-MOST_WEIGHT, MOST_WEIGHT).astype(np.float32)
+
+
+def updated(tree: Tree, weights: np.ndarray, counts: np.ndarray, gradient: np.ndarray, share: float) -> np.ndarray:
+    """Weights after a step along the gradient of a part of the rows, each divided by its curvature in that part."""
+    prior, seen = np.exp(tree.bias[tree.owner]), counts.sum(1, keepdims=True)
+    p = (counts + KAPPA * prior) / (seen + KAPPA)
+    step = (gradient / (share * seen * p * (1 - p) + KAPPA / 2)).clip(-1, 1)
+    return np.where(prior > 0, weights + RATE * step, 0).clip(-MOST_WEIGHT, MOST_WEIGHT).astype(np.float32)
+
+
+def log_probabilities(tree: Tree, weights: np.ndarray, codes: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """The natural logarithm of each token's leaf's probability."""
+    v = Visits(tree, codes, hashes)
+    z = v.logits(tree, weights)
+    own = z[np.arange(len(z)), v.outcome]
+    return np.bincount(v.token, own - np.log(np.exp(z, out=z).sum(1)), len(codes))
+
+
+def _scores(tree, weights, count, mass):
+    """For every row: its tokens, known frequent ones, their log-frequencies, and the model's value but for rare words' frequencies."""
+    names = ["row", "doc_id", "held_out", "n_tokens", "known", "logs", "shape"]
+
+    def run(batches):
+        t, w, c, z = tree.value, weights.value, count.value, mass.value
+        # by leaf: a rare word's own frequency comes by the join
+        logs = np.concatenate((np.zeros(RARE), np.log10(c + ALPHA)))
+        inside = np.concatenate((-z, np.zeros(len(c))))
+        known = np.concatenate((np.zeros(RARE, bool), c > 0))
+        for batch in batches:
+            n = batch.num_rows
+            sums = np.zeros((4, n))
+            for codes, hashes, own in _runs(_codes(batch.column(3), n), BATCH):
+                leaf = leaves(codes)
+                each = log_probabilities(t, w, codes, hashes) / np.log(10) + inside[leaf]
+                for total, x in zip(sums, (None, known[leaf], logs[leaf], each)):
+                    total += np.bincount(own, x, n)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(x.astype(np.int64)) for x in sums[:2]), *map(pa.array, sums[2:])], names=names)
 
     return run
 
 
+class Model:
+    """A trained model and the tables that it was made from: coded (row, doc_id, held_out, codes, rare), counts (word, c)."""
+
+    def __init__(self, docs: DataFrame, parts: int = 10, rounds: int = ROUNDS, heavy: int = HEAVY):
+        context = docs.sparkSession.sparkContext
+        doc = F.col("doc_id").cast("long")
+        base = docs.select(F.monotonically_increasing_id().alias("row"), doc.alias("doc_id"), is_held_out(doc, parts).alias("held_out"), text_or_empty().alias("t"))
+        self.counts = stored(token_counts(base.where("NOT held_out").select("t")), "counts")
+        whole = self.counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
+        self.n, self.v = whole["n"] or 0, whole["v"]
+        # words that occur once are rare in any corpus: from them the model learns where new words come
+        self.cutoff = max(2, frequency_cutoff(self.counts, "c", heavy)) if self.v else 2
+        frequent = (F.col("c") >= self.cutoff) | (F.col("word") == F.lit(END))
+        self.vocabulary = Vocabulary({bytes(r["word"]): r["c"] for r in self.counts.where(frequent).collect()})
+        shared = context.broadcast(self.vocabulary)
+        self.rare = self.counts.where(~frequent)
+
+        def rare_leaves(batches):
+            own = shared.value
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([own.leaf_of(w) for w in batch.column(0).to_pylist()], pa.int32()), batch.column(1)], names=["k", "c"])
+
+        size, kinds = np.zeros(RARE), np.zeros(RARE)
+        for r in self.rare.mapInArrow(rare_leaves, "k int, c long").groupBy("k").agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect():
+            size[r["k"]], kinds[r["k"]] = r["c"], r["v"]
+        self.mass = size + ALPHA * (kinds + 1)  # of each rare leaf: its words and one that wasn't seen
+        bits = min(MOST_BITS, max(LEAST_BITS, int(self.n).bit_length() - THIN))
+        classes = np.concatenate((np.arange(RARE) // (RARE // FAN), self.vocabulary.classes))
+        self.tree = Tree(classes, np.concatenate((self.mass, self.vocabulary.count + ALPHA)), 1 << bits)
+        coded = base.mapInArrow(_coded(shared), "row long, doc_id long, held_out boolean, codes binary, rare array<binary>")
+        self.coded = stored(coded, "coded", compression="zstd")
+        self.shared_tree = context.broadcast(self.tree)
+        train, rows = self.coded.where("NOT held_out"), self.tree.rows
+        self.weights, self.outcomes = np.zeros((rows, FAN), np.float32), np.zeros((rows, FAN), np.float32)
+        if self.n:
+            tasks = lambda n: max(context.defaultParallelism, -(-n // TASK))
+            self.outcomes = gathered(train.select("codes"), self.shared_tree, None, rows, tasks(self.n))
+            self.weights = start_weights(self.tree, self.outcomes)
+            for k in range(rounds):
+                part = train.where(F.pmod(F.xxhash64("row"), F.lit(rounds)) == k).select("codes")
+                held = context.broadcast(self.weights)
+                self.weights = updated(self.tree, self.weights, self.outcomes, gathered(part, self.shared_tree, held, rows, tasks(self.n // rounds)), 1 / rounds)
+                held.destroy()
+
+    def scores(self) -> DataFrame:
+        context = self.coded.sparkSession.sparkContext
+        run = _scores(self.shared_tree, context.broadcast(self.weights), context.broadcast(self.vocabulary.count), context.broadcast(np.log10(self.mass)))
+        rows = self.coded.select("row", "doc_id", "held_out", "codes").mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, known long, logs double, shape double")
+        words = self.coded.select("row", F.explode("rare").alias("word")).join(self.rare.hint("merge"), "word", "left")
+        log = F.log10(F.coalesce("c", F.lit(0)) + ALPHA)
+        words = words.select("row", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("boolean").alias("held_out"), F.lit(0).cast("long").alias("n_tokens"),
+                             F.col("c").isNotNull().cast("long").alias("known"), log.alias("logs"), log.alias("shape"))
+        per = rows.unionByName(words).groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), *(F.sum(c).alias(c) for c in ("n_tokens", "known", "logs", "shape")))
+        every = float(np.log10(self.n + ALPHA * (self.v + 1)))
+        return per.select(
+            "doc_id", "held_out", "n_tokens", F.col("known").alias("n_known"), F.lit(self.n).cast("long").alias("train_tokens"),
+            (F.col("logs") - F.col("n_tokens") * every).alias("base_score"), F.col("shape").alias("score"),
+        )
+
+
 def scores(docs: DataFrame, parts: int = 10, rounds: int = ROUNDS) -> DataFrame:
     """Per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     base_score is the add-ALPHA unigram log10 probability, score the model's; both count one end token per text. A null text
     is empty: its one token is the end. A null doc_id counts as held out. Repeated rows each give a row. Without training
     rows all tokens are unknown and both scores are those of the smoothing alone. An empty table gives no rows; columns
-    besides doc_id and text are ignored.
+    besides doc_id and text are ignored. Texts of any length are scored whole, each word with its own context.
     """
-    spark = docs.sparkSession
-    context = spark.sparkContext
-    doc = F.col("doc_id").cast("long")
-    base = docs.select(doc.alias("doc_id"), is_held_out(doc, parts).alias("held_out"), text_or_empty().alias("t"))
-    train = base.where("NOT held_out").select("t")
-    counts = stored(token_counts(train), "counts")
-    whole = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
-    n, v = whole["n"] or 0, whole["v"]
-    cutoff = frequency_cutoff(counts, "c", HEAVY) if v else 1
-    heavy = {bytes(r["word"]): r["c"] for r in counts.where(F.col("c") >= cutoff).collect()}
-    top = sorted(heavy, key=lambda w: (-heavy[w], w))[:20_000]
-    vocabulary = Vocabulary(heavy, cluster_endings([w for w in top if w != END], [heavy[w] for w in top if w != END]))
-    shared = context.broadcast(vocabulary)
-
-    # tokens and distinct tokens of each class: a small table on both sides
-    def classes(batches):
-        own = shared.value
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([own.class_of(w) for w in batch.column(0).to_pylist()], pa.int32()), batch.column(1)], names=["k", "c"])
-
-    size, kinds = np.zeros(CLASSES), np.zeros(CLASSES)
-    for r in counts.mapInArrow(classes, "k int, c long").groupBy("k").agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect():
-        size[r["k"]], kinds[r["k"]] = r["c"], r["v"]
-    mass = np.log10(size + ALPHA * (kinds + 1))
-    prior = (size + ALPHA * (kinds + 1)) / (size + ALPHA * (kinds + 1)).sum()
-    bias = np.log(prior).astype(np.float32)
-    weights = np.zeros((1 << BITS, CLASSES), np.float32)
-    if n:
-        seen, g = gradient(train, shared, (None, bias))
-        expected = seen[:, None] * prior[None]
-        weights = (FIRST * np.log((np.maximum(expected + g, 0) + KAPPA * prior) / (expected + KAPPA * prior))).astype(np.float32)
-        for _ in range(rounds):
-            seen, g = gradient(train, shared, (weights, bias))
-            weights = weights + (RATE * g / (seen[:, None] + KAPPA)).astype(np.float32)
-    keyed = base.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "t")
-    rows = keyed.mapInArrow(
-        _scores(shared, context.broadcast((weights, bias)), context.broadcast(mass)),
-        "row long, doc_id long, held_out boolean, n_tokens long, known long, counts double, shape double, word binary, freq long",
-    )
-    rare = counts.where(F.col("c") < cutoff)
-    joined = rows.join(rare.hint("merge"), "word", "left")
-    tail = F.when(F.col("freq") > 0, F.col("freq") * F.log10(F.coalesce("c", F.lit(0)) + ALPHA)).otherwise(0.0)
-    per = joined.groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"),
-        F.sum(F.coalesce("known", F.lit(0)) + F.when(F.col("c").isNotNull(), F.col("freq")).otherwise(0)).alias("n_known"),
-        F.sum(F.coalesce("counts", F.lit(0.0)) + tail).alias("logs"), F.max("shape").alias("shape"),
-    )
-    return per.select(
-        "doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("logs") - F.col("n_tokens") * float(np.log10(n + ALPHA * (v + 1)))).alias("base_score"), (F.col("logs") + F.col("shape")).alias("score"),
-    )
+    return Model(docs, parts, rounds).scores()

@@ -252,12 +252,75 @@ def test_base_scores_are_exact_and_the_model_is_better(spark, sample):
     assert sum(r["score"] for r in got if r["held_out"]) > sum(r["base_score"] for r in got if r["held_out"])
 
 
+def tiny_tree():
+    v = maxent_lm.Vocabulary({b"a": 50, b"b": 30, b"of": 9, **{b"w%d" % i: 1 + i % 5 for i in range(90)}, maxent_lm.END: 20})
+    classes = np.concatenate((np.arange(maxent_lm.RARE) // (maxent_lm.RARE // maxent_lm.FAN), v.classes))
+    return v, maxent_lm.Tree(classes, np.concatenate((np.full(maxent_lm.RARE, 0.3), v.count + 0.1)), 1 << 11)
+
+
 def test_the_model_is_proper():
-    v = maxent_lm.Vocabulary({b"a": 5, b"b": 3, maxent_lm.END: 2}, {b"a": 1})
-    codes = maxent_lm.Coder(v)([b"a", b"zz", b"b", maxent_lm.END])
-    at = maxent_lm.contexts(codes, np.array([0]))
-    w = np.random.default_rng(0).normal(size=(1 << maxent_lm.BITS, maxent_lm.CLASSES)).astype(np.float32)
-    assert np.allclose(maxent_lm._softmax(w, np.zeros(maxent_lm.CLASSES, np.float32), at).sum(1), 1, atol=1e-5)
+    v, tree = tiny_tree()
+    weights = np.random.default_rng(0).normal(size=(tree.rows, maxent_lm.FAN)).astype(np.float32)
+    words = [b"zz", *v.words]
+    for before in ([b"a", b"of"], [b"zz"], []):
+        codes = maxent_lm.Coder(v)([*before, b"a"])
+        hashes = maxent_lm.contexts(codes, np.array([0]))[:, -1:]
+        every = np.concatenate((-1 - np.arange(maxent_lm.RARE), np.arange(len(v.words)))).astype(np.int32)  # one code of each leaf
+        p = maxent_lm.log_probabilities(tree, weights, every, np.repeat(hashes, len(every), 1))
+        assert abs(np.exp(p).sum() - 1) < 1e-4 and len(words) > 90
+
+
+def test_a_text_s_tokens_keep_their_context_in_every_batch():
+    v, tree = tiny_tree()
+    random = np.random.default_rng(1)
+    weights = random.normal(size=(tree.rows, maxent_lm.FAN)).astype(np.float32)
+    texts = [random.choice([*v.words, b"new", b"other"], n).tolist() for n in (1, 70_000, 3)]
+    codes = [(k, maxent_lm.Coder(v)(t)) for k, t in enumerate(texts)]
+
+    def sums(batch):
+        out = np.zeros(3)
+        for c, h, own in maxent_lm._runs(codes, batch):
+            out += np.bincount(own, maxent_lm.log_probabilities(tree, weights, c, h), 3)
+        return out
+
+    assert np.allclose(sums(1 << 20), sums(100), rtol=1e-6)
+
+
+def test_model_scores_equal_brute_force(spark):
+    rows = [(i, " ".join(f"w{(i * j) % 7}" for j in range(i % 11))) for i in range(60)] + [(None, "w1 w2 new"), (3, None), (70, "rare " * 4 + "w1 w1")]
+    model = maxent_lm.Model(docs(spark, rows), rounds=2, heavy=6)
+    got = sorted((str(r["doc_id"]), r["n_tokens"], round(r["score"], 3)) for r in model.scores().collect())
+    t, v, w = model.tree, model.vocabulary, model.weights
+    c = {bytes(r["word"]): r["c"] for r in model.counts.collect()}
+    assert abs(w).max() > 0
+    outcomes, want = np.zeros_like(w), []
+    for d, text in rows:
+        ws = [*maxent_lm.words_of(text or ""), maxent_lm.END]
+        codes = [int(x) for x in maxent_lm.Coder(v)(ws)]
+        total = 0.0
+        for i, word in enumerate(ws):
+            hashes = maxent_lm.contexts(np.array(codes[max(0, i - 2) : i + 1], np.int32), np.array([0]))[:, -1]
+            leaf = v.codes[word] + maxent_lm.RARE if word in v.codes else v.leaf_of(word)
+            for j in range(t.start[leaf], t.start[leaf] + t.depth[leaf]):
+                node, k = t.nodes[j], t.outcomes[j]
+                at = [int(t.base[node]) + (int(h) * int(t.size[node]) >> 32) for h in hashes]
+                z = [float(t.bias[node][x]) + sum(float(w[r][x]) for r in at) for x in range(maxent_lm.FAN)]
+                total += (z[k] - np.log(sum(np.exp(x) for x in z))) / np.log(10)
+                if zlib.crc32(str(d or "").encode() if d is None else str(d).encode()) % 10:
+                    for r in at:
+                        outcomes[r][k] += 1
+            if word not in v.codes:
+                total += np.log10((c.get(word, 0) + 0.1) / model.mass[leaf])
+        want.append((str(d), len(ws), round(total, 3)))
+    assert [g[:2] for g in got] == [x[:2] for x in sorted(want)]
+    assert np.allclose([g[2] for g in got], [x[2] for x in sorted(want)], atol=0.01)
+    assert np.array_equal(outcomes, model.outcomes)
+
+
+def test_gradient_rounds_raise_the_training_likelihood(spark, sample):
+    rows = [(1000 + i, t) for i, t in sample]
+    sums = [maxent_lm.Model(docs(spark, rows), rounds=n).scores().where("NOT held_out").agg(F.sum("score")).first()[0] for n in (0, 2)]
+    assert sums[1] > sums[0]
 
 
 def brute_groups(rows, k, num, den):
