@@ -207,7 +207,7 @@ class Tree:
         share = np.maximum(1, np.array(mass) / (weight @ self.depth) * rows).astype(np.int64)
         self.size, self.base = share.astype(np.uint64), np.concatenate(([0], np.cumsum(share)[:-1])).astype(np.uint64)
         self.rows = int(share.sum())
-        self.owner = np.repeat(np.arange(len(share)), share)  # the node of each row of the table
+        self.owner = np.repeat(np.arange(len(share), dtype=np.int32), share)  # the node of each row of the table
 
 
 def _hash(x: np.ndarray) -> np.ndarray:
@@ -297,7 +297,7 @@ def _coded(vocabulary):
 
 
 def _packed(x: np.ndarray) -> bytes:
-    """The upper halves of 32-bit floats, rounded: sums of a task travel with three digits; whole numbers up to 256 are exact."""
+    """The upper halves of 32-bit floats, rounded: sums travel with three digits; whole numbers up to 256 are exact."""
     return ((x.view(_U) + _U(0x8000)) >> _U(16)).astype(np.uint16).tobytes()
 
 
@@ -351,7 +351,7 @@ def _summed(batches):
             else:
                 sums[b] = x.astype(np.float64)
     for b, x in sums.items():
-        yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([x.astype(np.float32).tobytes()], pa.binary())], names=["block", "held"])
+        yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([_packed(x.astype(np.float32))], pa.binary())], names=["block", "held"])
 
 
 def gathered(codes: DataFrame, tree, weights, rows: int, tasks: int) -> np.ndarray:
@@ -359,24 +359,35 @@ def gathered(codes: DataFrame, tree, weights, rows: int, tasks: int) -> np.ndarr
     parts = codes.coalesce(tasks).mapInArrow(_gathered(tree, weights), "block int, held binary")
     out = np.zeros((rows, FAN), np.float32)
     for r in parts.repartition("block").mapInArrow(_summed, "block int, held binary").collect():
-        x = np.frombuffer(r["held"], np.float32).reshape(-1, FAN)
+        x = _unpacked(r["held"]).reshape(-1, FAN)
         out[r["block"] * BLOCK : r["block"] * BLOCK + len(x)] = x
     return out
 
 
+def _parts_of(tree: Tree):
+    """The table's rows in slices, with the prior of each row's outcomes: what the driver computes at once stays small."""
+    for a in range(0, tree.rows, 1 << 14):
+        part = slice(a, a + (1 << 14))
+        yield part, np.exp(tree.bias[tree.owner[part]])
+
+
 def start_weights(tree: Tree, counts: np.ndarray) -> np.ndarray:
     """A share of the smoothed log-ratios of a feature's outcomes to the prior of its node."""
-    prior = np.exp(tree.bias[tree.owner])
-    expected = counts.sum(1, keepdims=True) * prior
-    return np.where(prior > 0, FIRST * np.log((counts + KAPPA * prior + 1e-9) / (expected + KAPPA * prior + 1e-9)), 0).clip(-MOST_WEIGHT, MOST_WEIGHT).astype(np.float32)
+    out = np.zeros((tree.rows, FAN), np.float32)
+    for part, prior in _parts_of(tree):
+        n, tiny = counts[part], np.float32(1e-9)
+        ratio = (n + KAPPA * prior + tiny) / (n.sum(1, keepdims=True) * prior + KAPPA * prior + tiny)
+        out[part] = np.where(prior > 0, FIRST * np.log(ratio), 0).clip(-MOST_WEIGHT, MOST_WEIGHT)
+    return out
 
 
-def updated(tree: Tree, weights: np.ndarray, counts: np.ndarray, gradient: np.ndarray, share: float) -> np.ndarray:
-    """Weights after a step along the gradient of a part of the rows, each divided by its curvature in that part."""
-    prior, seen = np.exp(tree.bias[tree.owner]), counts.sum(1, keepdims=True)
-    p = (counts + KAPPA * prior) / (seen + KAPPA)
-    step = (gradient / (share * seen * p * (1 - p) + KAPPA / 2)).clip(-1, 1)
-    return np.where(prior > 0, weights + RATE * step, 0).clip(-MOST_WEIGHT, MOST_WEIGHT).astype(np.float32)
+def update(tree: Tree, weights: np.ndarray, counts: np.ndarray, gradient: np.ndarray, share: float) -> None:
+    """Step along the gradient of a part of the rows, each weight's divided by its curvature in that part."""
+    for part, prior in _parts_of(tree):
+        seen = counts[part].sum(1, keepdims=True)
+        p = (counts[part] + KAPPA * prior) / (seen + KAPPA)
+        step = (gradient[part] / (share * seen * p * (1 - p) + KAPPA / 2)).clip(-1, 1)
+        weights[part] = np.where(prior > 0, weights[part] + RATE * step, 0).clip(-MOST_WEIGHT, MOST_WEIGHT)
 
 
 def log_probabilities(tree: Tree, weights: np.ndarray, codes: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -451,7 +462,7 @@ class Model:
             for k in range(rounds):
                 part = train.where(F.pmod(F.xxhash64("row"), F.lit(rounds)) == k).select("codes")
                 held = context.broadcast(self.weights)
-                self.weights = updated(self.tree, self.weights, self.outcomes, gathered(part, self.shared_tree, held, rows, tasks(self.n // rounds)), 1 / rounds)
+                update(self.tree, self.weights, self.outcomes, gathered(part, self.shared_tree, held, rows, tasks(self.n // rounds)), 1 / rounds)
                 held.destroy()
 
     def scores(self) -> DataFrame:

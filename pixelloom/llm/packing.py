@@ -32,10 +32,11 @@ def _pieces(path: str, room: int, end: int):
     def run(batches):
         cache = IdCache.shared(path)
         for batch in batches:
-            for a in range(0, batch.num_rows, 256):
+            for a in range(0, batch.num_rows, 64):
                 out = {f.name: [] for f in _PIECE}
-                for doc, t in zip(*(batch.column(i).slice(a, 256).to_pylist() for i in (0, 1))):
-                    ids = cache.ids(t) + last
+                docs, texts = (batch.column(i).slice(a, 64).to_pylist() for i in (0, 1))
+                for doc, ids in zip(docs, cache.of_many(texts)):
+                    ids += last
                     for k, at in enumerate(range(0, len(ids), 4 * room)):
                         part = ids[at : at + 4 * room]
                         for col, v in zip(out.values(), (doc, k, at // 4, len(part) // 4, zlib.crc32(part))):

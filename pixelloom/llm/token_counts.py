@@ -13,35 +13,36 @@ from __future__ import annotations
 
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import frequency_cutoff, stored, text_or_empty
-from .wordbpe import Frequencies, Pretokenizer, _Cache
+from .wordbpe import Pretokenizer
 
 #: Pre-tokens whose piece counts are broadcast, at most (about 100 bytes each in a worker).
 HEAVY = 100_000
-#: Distinct parts that a task counts before it hands their pre-tokens on.
+#: Distinct pre-tokens that a task counts before it hands them on.
 FLUSH = 150_000
 
 
 def _batch_counts(path: str):
     def run(batches):
-        tokens = Frequencies(path)
+        tokens, counts = Pretokenizer(path), Counter()
 
         def out():
-            counts = tokens.take()
             # a pre-token that no string can hold (a lone surrogate) doesn't occur: texts come from UTF-8
             return pa.RecordBatch.from_pydict({"piece": list(counts), "freq": pa.array(counts.values(), pa.int64())})
 
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
                 for t in batch.column(0).slice(a, 256).to_pylist():
-                    tokens.add(t)
-                if len(tokens) > FLUSH:
+                    counts.update(tokens.split(t))
+                if len(counts) > FLUSH:
                     yield out()
-        if len(tokens):
+                    counts.clear()
+        if counts:
             yield out()
 
     return run
@@ -68,44 +69,27 @@ def with_pieces(counts: DataFrame, path: str) -> DataFrame:
 def _document_rows(path: str, heavy):
     def run(batches):
         tokens, known = Pretokenizer(path), heavy.value
-
-        def part(p):
-            total, rest = 0, ()
-            for w in tokens.of_part(p):
-                if (n := known.get(w)) is None:
-                    rest += (w,)
-                else:
-                    total += n
-            return total, rest
-
-        cache = _Cache(lambda parts: [part(p) for p in parts], 100_000)
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
                 row, doc, text = (batch.column(i).slice(a, 256).to_pylist() for i in range(3))
-                out = {"row": [], "doc_id": [], "n_bytes": [], "piece": [], "freq": [], "summed": []}
-
-                def put(*x):
-                    for col, v in zip(out.values(), x):
-                        col.append(v)
-
-                for r, d, t in zip(row, doc, text):
-                    parts = tokens.chunks(t)
-                    if parts is None:
-                        counted = Counter(tokens.split(t))
-                        pieces = {w: (known[w], ()) if w in known else (0, (w,)) for w in counted}
-                    else:
-                        pieces = cache.of(counted := Counter(parts))
-                    total, rest = 0, {}
-                    for p, n in counted.items():
-                        c, tail = pieces[p]
-                        total += n * c
-                        for w in tail:
-                            rest[w] = rest.get(w, 0) + n
-                    # its own key keeps this row's join partner unique, so that no task gets all of them
-                    put(r, d, len(t.encode("utf-8", "surrogatepass")), f"\x00{r}", 0, total)
-                    for w, n in rest.items():
-                        put(r, None, None, w, n, 0)
-                yield pa.RecordBatch.from_pydict(out, schema=_ROWS)
+                totals, words, freqs, many = [], [], [], []
+                for t in text:
+                    total, before = 0, len(words)
+                    for w, n in Counter(tokens.split(t)).items():
+                        if (c := known.get(w)) is None:
+                            words.append(w)
+                            freqs.append(n)
+                        else:
+                            total += n * c
+                    totals.append(total)
+                    many.append(len(words) - before)
+                # a row's own key keeps its join partner unique, so that no task gets all of them
+                none = pa.nulls(len(words), pa.int64())
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.concatenate((row, np.repeat(row, many)))), pa.concat_arrays([pa.array(doc, pa.int64()), none]),
+                    pa.concat_arrays([pa.array([len(t.encode("utf-8", "surrogatepass")) for t in text], pa.int64()), none]),
+                    pa.array([f"\x00{r}" for r in row] + words), pa.array([0] * len(row) + freqs, pa.int64()), pa.array(totals + [0] * len(words), pa.int64()),
+                ], schema=_ROWS)
 
     return run
 

@@ -1,15 +1,15 @@
 """Exact, fast use of a BPE tokenizer file whose merges never cross pre-tokens.
 
-A pre-token's ids don't depend on its surroundings, so a worker runs the library once per distinct pre-token and looks
-up the rest. Texts made only of characters whose class every Unicode version agrees on are split by an equivalent
+A pre-token's ids don't depend on its surroundings, so a worker runs the library once per distinct pre-token that it remembers. Texts made only of characters whose class every Unicode version agrees on are split by an equivalent
 pattern; all others are split by the library itself.
 """
 
 from __future__ import annotations
 
+import codecs
 import re
 import unicodedata
-from collections import Counter
+from itertools import chain
 
 import numpy as np
 
@@ -20,6 +20,10 @@ _SPLIT = re.compile(rf"[{_CLASS['L']}]+|{_CONTRACTIONS}|[{_CLASS['N']}]|[^\s{_CL
 _SPLIT_ASCII = re.compile(rf"[a-z]+|{_CONTRACTIONS}|[0-9]|[^\sa-z0-9]+")
 _CONTROL = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
 _UNSAFE = re.compile("[^" + "".join(re.escape(chr(c)) for c in _SAFE) + "]")
+#: Bytes that stand for themselves in the byte alphabet; the others are letters from U+0100 on, in order.
+_PLAIN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+#: A byte is a character of the alphabet; white space stays, as it parts words.
+_BYTE_ALPHABET = "".join(chr(b) if b in _PLAIN or b == 32 else chr(256 + sum(x not in _PLAIN for x in range(b))) for b in range(256))
 #: The split pattern that the fast path reproduces; another tokenizer file is split by the library alone.
 _KNOWN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
@@ -32,7 +36,9 @@ class Pretokenizer:
 
     def __init__(self, path: str):
         import json
+        import os
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -45,13 +51,17 @@ class Pretokenizer:
         splits = (said["pre_tokenizer"] or {}).get("pretokenizers", [{}])[0].get("pattern", {}).get("Regex")
         self._fast = kinds == ["NFC", "Replace", "Lowercase"] and splits == _KNOWN
 
+    def words(self, text: str) -> list[str] | None:
+        """The pre-tokens of a text that the equivalent pattern can split; None: it cannot."""
+        if not self._fast or any(m in text for m in self._marks):
+            return None
+        if text.isascii():
+            return None if _CONTROL.search(text) else _SPLIT_ASCII.findall(text.lower())
+        return None if _UNSAFE.search(text) else _SPLIT.findall(unicodedata.normalize("NFC", text).lower())
+
     def _plain(self, text: str) -> list[str]:
-        if self._fast:
-            if text.isascii():
-                if not _CONTROL.search(text):
-                    return _SPLIT_ASCII.findall(text.lower())
-            elif not _UNSAFE.search(text):
-                return _SPLIT.findall(unicodedata.normalize("NFC", text).lower())
+        if (found := self.words(text)) is not None:
+            return found
         normal = self.library.normalizer.normalize_str(text) if self.library.normalizer else text
         return [normal[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(normal)]
 
@@ -64,31 +74,10 @@ class Pretokenizer:
             return out
         return self._plain(text)
 
-    def chunks(self, text: str) -> list[str] | None:
-        """White-space separated parts of text that can be split one by one with the same pre-tokens; None: no such parts."""
-        if not self._fast or any(m in text for m in self._marks):
-            return None
-        if _CONTROL.search(text) if text.isascii() else _UNSAFE.search(text):
-            return None
-        return text.split()
-
-    def of_part(self, part: str) -> list[str]:
-        """The pre-tokens of one of `chunks`' parts. Words, and words with one mark behind, need no pattern."""
-        if part.isalpha():
-            if _DOTTED not in part:
-                return [part.lower()]
-        elif part[-1] in _MARKS and part[:-1].isalpha() and _DOTTED not in part:
-            return [part[:-1].lower(), part[-1]]
-        return self._plain(part)
-
     def encode(self, pieces: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(pieces, add_special_tokens=False)]
 
 
-#: A letter whose lower case isn't a letter alone; marks that are a pre-token of their own behind a letter.
-_DOTTED, _MARKS = "\u0130", ".,;:!?"
-
-
 class _Cache:
     """A dict made by `many` from the keys that it lacks. Of two generations the older goes when the younger has `most` entries."""
 
@@ -99,33 +88,39 @@ class _Cache:
 
     def of(self, keys) -> dict:
         known = self.known
-        if new := {k for k in keys if k not in known}:
+        every = set(keys)
+        if new := every.difference(known):
             if len(known) + len(new) > self._most:
                 self._old, self.known = known, (known := {})
-                new = set(keys)
+                new = every
             old = self._old
-            known.update((k, old[k]) for k in new if k in old)
-            if new := [k for k in new if k not in old]:
+            if again := [k for k in new if k in old]:
+                known.update(zip(again, map(old.__getitem__, again)))
+                new.difference_update(again)
+            if new := list(new):
                 known.update(zip(new, self._many(new)))
         return known
 
 
 class IdCache:
-    """Ids of whole texts as little-endian uint32 bytes through a bounded cache of white-space separated parts.
-
-    Parts that differ in case or in a mark behind share the ids of their word, which the library makes once.
-    """
+    """Ids of whole texts as little-endian uint32 bytes through a bounded cache of pre-tokens, whose ids the library makes once."""
 
     _of_path: dict[str, IdCache] = {}
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 600_000):
+        import json
+
+        from tokenizers import Tokenizer
+
         self._tokens = Pretokenizer(path)
         self._ids = _Cache(self._encode, most)
-        self._words = _Cache(self._encode_words, most)
         known = self._tokens.library.get_vocab(with_added_tokens=False)
         self._ends = np.zeros(1 + max(self._tokens.library.get_vocab().values()), bool)
         self._ends[[i for t, i in known.items() if t.endswith("</w>")]] = True
-        self._mark = {m: self._whole(m) for m in _MARKS}
+        with open(path, encoding="utf-8") as f:
+            said = json.load(f)
+        # the same merges for words of the byte alphabet with spaces between
+        self._merges = Tokenizer.from_str(json.dumps(said | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "post_processor": None, "added_tokens": []}))
 
     @staticmethod
     def shared(path: str) -> IdCache:
@@ -134,18 +129,13 @@ class IdCache:
             IdCache._of_path[path] = IdCache(path)
         return IdCache._of_path[path]
 
-    def _encode(self, parts: list[str]) -> list[bytes]:
-        split = [self._tokens.of_part(p) for p in parts]
-        words = self._words.of({w for ws in split for w in ws if w not in self._mark})
-        mark = self._mark
-        return [words[ws[0]] if len(ws) == 1 and ws[0] not in mark else b"".join([mark[w] if w in mark else words[w] for w in ws]) for ws in split]
-
-    def _encode_words(self, words: list[str]) -> list[bytes]:
+    def _encode(self, words: list[str]) -> list[bytes]:
         """Ids of pre-tokens. Many are encoded as one text, whose ids are cut where words end."""
         out: list[bytes] = []
         for k in range(0, len(words), 2000):
             some = words[k : k + 2000]
-            ids = np.array(self._tokens.library.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            text = codecs.charmap_decode(" ".join(some).encode(), "strict", _BYTE_ALPHABET)[0]
+            ids = np.array(self._merges.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
             ends = np.flatnonzero(self._ends[ids]) + 1
             if len(ends) != len(some):  # an id that doesn't end a word: each by itself
                 out += [self._whole(w) for w in some]
@@ -157,38 +147,9 @@ class IdCache:
     def _whole(self, text: str) -> bytes:
         return np.array(self._tokens.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def ids(self, text: str) -> bytes:
-        parts = self._tokens.chunks(text)
-        if parts is None:
-            return self._whole(text)
-        try:
-            return b"".join(map(self._ids.known.__getitem__, parts))
-        except KeyError:
-            return b"".join(map(self._ids.of(parts).__getitem__, parts))
-
-
-class Frequencies:
-    """Pre-token frequencies of whole texts: white-space separated parts are counted first and split when they are taken."""
-
-    def __init__(self, path: str):
-        self._tokens = Pretokenizer(path)
-        self._parts: Counter = Counter()
-        self._words: Counter = Counter()
-
-    def __len__(self) -> int:
-        return len(self._parts) + len(self._words)
-
-    def add(self, text: str) -> None:
-        if (parts := self._tokens.chunks(text)) is None:
-            self._words.update(self._tokens.split(text))
-        else:
-            self._parts.update(parts)
-
-    def take(self) -> dict[str, int]:
-        """The frequencies since the last call."""
-        out, parts = self._words, self._parts
-        self._words, self._parts = Counter(), Counter()
-        for p, n in parts.items():
-            for w in self._tokens.of_part(p):
-                out[w] = out.get(w, 0) + n
-        return out
+    def of_many(self, texts: list[str]) -> list[bytes]:
+        split = [self._tokens.words(t) for t in texts]
+        every = set(chain.from_iterable(w for w in split if w is not None))
+        known = self._ids.of(every)
+        own = dict(zip(every, map(known.__getitem__, every))).__getitem__  # small, so that most lookups are near
+        return [self._whole(t) if w is None else b"".join(map(own, w)) for t, w in zip(texts, split)]
