@@ -30,17 +30,20 @@ from .common import FOLD, frequency_cutoff, stored, text_or_empty
 
 #: Outcomes of a softmax; leaves for rare words; smoothing of counts; words whose counts and codes are broadcast, at most.
 FAN, RARE, ALPHA, HEAVY = 16, 256, 0.1, 200_000
-#: The weight table has a row for every 2^THIN training tokens: 2^LEAST_BITS rows at least, and at most 2^MOST_BITS, what a worker holds (64 MB).
-THIN, LEAST_BITS, MOST_BITS = 3, 10, 20
+#: Softmaxes that this share of training tokens pass have features.
+LEAST_SHARE = 2.0**-9
+#: The weight table has a row for every 2^THIN training tokens, about: 2^LEAST_BITS rows at least, and at most 2^MOST_BITS, what a worker holds (32 MB).
+THIN, LEAST_BITS, MOST_BITS = 6, 10, 19
 #: The end token: no word has white space in it.
 END = b"\n"
 #: Gradient rounds of an epoch, smoothing, the start's share of the log-ratios, the rate of updates, the largest weight.
 ROUNDS, KAPPA, FIRST, RATE, MOST_WEIGHT = 2, 20.0, 0.6, 0.25, 8.0
 #: Tokens of one numpy batch, distinct words that a task counts or remembers, rows of the weight table that travel as one.
-BATCH, FLUSH, CACHE, BLOCK = 1 << 14, 200_000, 100_000, 256
+BATCH, FLUSH, CACHE, BLOCK = 1 << 12, 200_000, 100_000, 256
 #: Training tokens of one task of a gradient round.
 TASK = 1 << 24
 _U, _START = np.uint32, np.int32(0x7FFFFFFF)
+_ONES = np.ones(FAN, np.float32)
 
 
 def words_of(text: str) -> list[bytes]:
@@ -125,36 +128,47 @@ class Vocabulary:
         votes: dict[bytes, np.ndarray] = {}
         for w, c, n in zip(self.words, self.classes, self.count):
             votes.setdefault(_ending(w), np.zeros(FAN))[c] += n + ALPHA
-        self.endings = {e: int(v.argmax()) for e, v in votes.items()}
+        self._leaf = {e: self._leaf_in(e, int(v.argmax())) for e, v in votes.items()}  # by ending
+
+    def _leaf_in(self, end: bytes, c: int | None = None) -> int:
+        """The leaf of an ending: that of its class, or of some class if no frequent word has it."""
+        at = self._crc(end)
+        return (at >> 8 & (FAN - 1) if c is None else c) * (RARE // FAN) + at % (RARE // FAN)
 
     def leaf_of(self, word: bytes) -> int:
-        """The leaf of a word that isn't frequent: its ending's class, and one of the class's leaves."""
+        """The leaf of a word that isn't frequent."""
         end = _ending(word)
-        at = self._crc(end)
-        return self.endings.get(end, at >> 8 & 15) * (RARE // FAN) + at % (RARE // FAN)
+        found = self._leaf.get(end)
+        return self._leaf_in(end) if found is None else found
 
     def code_of(self, word: bytes) -> int:
         return -1 - (self.leaf_of(word) | (self._crc(word) & 0x7FFFFF) << 8)
 
 
 class Coder:
-    """Codes of a text's tokens through a bounded cache."""
+    """Codes of a text's tokens through a bounded cache of rare words; the vocabulary keeps it for a worker's later tasks."""
 
     def __init__(self, v: Vocabulary):
         self._v, self._known = v, dict(v.codes)
         self._most = len(self._known) + CACHE
 
+    @staticmethod
+    def of(v: Vocabulary) -> Coder:
+        if not hasattr(v, "coder"):
+            v.coder = Coder(v)
+        return v.coder
+
     def __call__(self, words: list[bytes]) -> np.ndarray:
         known = self._known
         try:
             return np.fromiter(map(known.__getitem__, words), np.int32, len(words))
         except KeyError:
-            fresh = {w for w in words if w not in known}
+            fresh = set(words).difference(known)
             if len(known) + len(fresh) > self._most:
                 known.clear()
                 known.update(self._v.codes)
-                fresh = {w for w in words if w not in known}
-            known.update((w, self._v.code_of(w)) for w in fresh)
+                fresh = set(words).difference(known)
+            known.update(zip(fresh, map(self._v.code_of, fresh)))
             return np.fromiter(map(known.__getitem__, words), np.int32, len(words))
 
 
@@ -194,17 +208,23 @@ class Tree:
                 heapq.heappush(heap, (total, n + at))
             self.bias[0][c] = np.log(total / mass[0])
         self.bias = np.stack(self.bias).astype(np.float32)
-        self.depth, self.start = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        # nodes that few tokens pass have no features: below them a leaf has its prior, below[leaf]
+        least = LEAST_SHARE * mass[0]
+        self.depth, self.start, self.below = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n)
         nodes, outcomes = [], []
         for x in range(n):
             at, k, self.start[x] = int(parent[x]), int(slot[x]), len(nodes)
             while at >= 0:
-                nodes.append(at)
-                outcomes.append(k)
+                if mass[at] >= least:
+                    nodes.append(at)
+                    outcomes.append(k)
+                else:
+                    self.below[x] += self.bias[at][k]
                 at, k = parents[at], slots[at]
             self.depth[x] = len(nodes) - self.start[x]
         self.nodes, self.outcomes = np.array(nodes, np.int32), np.array(outcomes, np.int8)
-        share = np.maximum(1, np.array(mass) / (weight @ self.depth) * rows).astype(np.int64)
+        share = np.array(mass) * (np.array(mass) >= least)
+        share = np.maximum(1, share / share.sum() * rows).astype(np.int64)
         self.size, self.base = share.astype(np.uint64), np.concatenate(([0], np.cumsum(share)[:-1])).astype(np.uint64)
         self.rows = int(share.sum())
         self.owner = np.repeat(np.arange(len(share), dtype=np.int32), share)  # the node of each row of the table
@@ -279,19 +299,14 @@ def _coded(vocabulary):
     """A row per text: its codes, its tokens' number, and the rare words that the join has to look up."""
 
     def run(batches):
-        v = vocabulary.value
-        coder = Coder(v)
+        coder = Coder.of(vocabulary.value)
         for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                part = batch.slice(a, 256)
-                codes, rare = [], []
-                for t in part.column(3).to_pylist():
-                    words = words_of(t)
-                    words.append(END)
-                    c = coder(words)
-                    codes.append(c.tobytes())
-                    rare.append([words[i] for i in np.flatnonzero(c < 0).tolist()])
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(codes, pa.binary()), pa.array(rare, pa.list_(pa.binary()))], names=["row", "doc_id", "held_out", "codes", "rare"])
+            for a in range(0, batch.num_rows, 64):
+                part = batch.slice(a, 64)
+                texts = [[*words_of(t), END] for t in part.column(3).to_pylist()]
+                codes = [coder(words) for words in texts]
+                rare = [[words[i] for i in np.flatnonzero(c < 0).tolist()] for words, c in zip(texts, codes)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(rare, pa.list_(pa.binary()))], names=["row", "doc_id", "held_out", "codes", "rare"])
 
     return run
 
@@ -319,7 +334,7 @@ def _gathered(tree, weights):
     def run(batches):
         t, w = tree.value, weights.value if weights else None
         total = np.zeros((t.rows, FAN), np.float32)
-        flat = total.reshape(-1)
+        flat, pairs = total.reshape(-1), total.view(np.complex64).reshape(-1)  # two outcomes are added at a time
         for batch in batches:
             for codes, hashes, _ in _runs(_codes(batch.column(0), batch.num_rows), BATCH):
                 v = Visits(t, codes, hashes)
@@ -329,13 +344,11 @@ def _gathered(tree, weights):
                     continue
                 z = v.logits(t, w)
                 np.exp(z, out=z)
-                z /= -z.sum(1, keepdims=True)
+                z *= (-1 / (z @ _ONES))[:, None]
                 z[np.arange(len(z)), v.outcome] += 1
+                z = z.view(np.complex64).reshape(-1)
                 for r in v.rows:
-                    order = np.argsort(r)
-                    ordered = r[order]
-                    at = np.flatnonzero(np.diff(ordered, prepend=-1))
-                    total[ordered[at]] += np.add.reduceat(z[order], at, axis=0)
+                    np.add.at(pairs, ((r * (FAN // 2))[:, None] + np.arange(FAN // 2)).reshape(-1), z)
         yield from _blocks(total)
 
     return run
@@ -395,7 +408,7 @@ def log_probabilities(tree: Tree, weights: np.ndarray, codes: np.ndarray, hashes
     v = Visits(tree, codes, hashes)
     z = v.logits(tree, weights)
     own = z[np.arange(len(z)), v.outcome]
-    return np.bincount(v.token, own - np.log(np.exp(z, out=z).sum(1)), len(codes))
+    return np.bincount(v.token, own - np.log(np.exp(z, out=z) @ _ONES), len(codes)) + tree.below[leaves(codes)]
 
 
 def _scores(tree, weights, count, mass):

@@ -309,6 +309,7 @@ def test_model_scores_equal_brute_force(spark):
                 if zlib.crc32(str(d or "").encode() if d is None else str(d).encode()) % 10:
                     for r in at:
                         outcomes[r][k] += 1
+            total += t.below[leaf] / np.log(10)
             if word not in v.codes:
                 total += np.log10((c.get(word, 0) + 0.1) / model.mass[leaf])
         want.append((str(d), len(ws), round(total, 3)))
