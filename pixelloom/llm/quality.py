@@ -6,8 +6,8 @@ indicator is scaled by the log-count ratio of the two classes; a linear hinge-lo
 by dual coordinate descent; margins become probabilities by a logistic curve that is fitted on rows that the model
 has not seen.
 
-Fitting uses a sample of at most `rows` labelled rows, those with the least MD5 of doc_id and text (a documented bound, so
-that fitting fits on the driver); scoring reads every whole text in Arrow batches.
+Fitting uses a sample of at most `rows` labelled rows, those with the least MD5 of doc_id, of a repeated doc_id the text
+with the least hash (a documented bound, so that fitting fits on the driver); scoring reads every whole text in Arrow batches.
 """
 
 from __future__ import annotations
@@ -164,7 +164,9 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, most: int =
     # choose by id before any text moves; whole texts of the chosen only
     order = F.md5(F.col("doc_id").cast("string"))
     chosen = marks.select("doc_id", "q", order.alias("o")).orderBy("o", "doc_id").limit(rows)
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("t")).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("t")).join(F.broadcast(chosen), "doc_id")
+    # of the texts of a repeated doc_id that with the least hash, whatever the order of rows
+    found = found.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("t").alias("h"), "t")).alias("least"), F.first("q").alias("q"), F.first("o").alias("o")).select("doc_id", "q", "o", "least.t")
     found, size, fits = stored(found, "labelled"), 0, []
     for r in sorted(found.select("o", "doc_id", F.octet_length("t").alias("n")).collect()):
         if size + r["n"] <= most:  # else the row is skipped, and shorter ones go on
