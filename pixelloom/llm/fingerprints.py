@@ -66,23 +66,32 @@ def fingerprint(docs: DataFrame, text: str = "text", words: int = 5, bins: int =
 
 
 #: Rows that one range of doc_ids should hold, and the most ranges; split points are that many longs on the driver.
-RANGE_ROWS, MOST_RANGES = 512, 20_000
+RANGE_ROWS, MOST_RANGES = 512, 100_000
 
 
 def _ranges(docs: DataFrame) -> DataFrame:
-    """Add part: the number of the doc_id range of each row, by approximate quantiles; rows without a doc_id come last."""
-    n = docs.count()
-    parts = max(1, min(MOST_RANGES, n // RANGE_ROWS + 1))
+    """Add part and h: the number of each row's range in the order of (doc_id, h), nulls last; h is a hash of the text.
+
+    Split points are approximate quantiles of doc_id. A doc_id that several of them hit has as many ranges, split by h, and so
+    have rows without a doc_id.
+    """
+    found = docs.agg(F.count("*").alias("n"), F.count("doc_id").alias("ids")).first()
+    parts = max(1, min(MOST_RANGES, found["ids"] // RANGE_ROWS + 1))
     cuts = docs.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)] or [0.5], max(10_000, 2 * parts)).alias("c")).first()["c"]
-    cuts = sorted(set(cuts or []))
+    cuts = sorted(cuts or [])
     values = F.from_json(F.lit(json.dumps(cuts)), "array<bigint>")
-    # binary search: how many cuts are at or below the doc_id
     steps = [1 << k for k in reversed(range(len(cuts).bit_length()))]
-    part = F.aggregate(
-        F.array(*map(F.lit, steps or [1])), F.lit(0), lambda at, s: F.when((at + s <= len(cuts)) & (F.get(values, at + s - 1) <= F.col("doc_id")), at + s).otherwise(at)
-    )
-    part = F.when(F.col("doc_id").isNotNull(), part)
-    return docs.withColumn("part", F.coalesce(part, F.lit(len(cuts))))
+
+    def before(under):  # binary search: how many cuts come before the doc_id
+        return F.aggregate(F.array(*map(F.lit, steps or [1])), F.lit(0), lambda at, s: F.when((at + s <= len(cuts)) & under(F.get(values, at + s - 1)), at + s).otherwise(at))
+
+    share = F.col("h") / F.lit(2.0**64) + F.lit(0.5)  # 0 to 1, in the order of h
+    spread = lambda n: F.least(F.floor(share * n).cast("int"), n - 1)
+    docs = docs.withColumn("h", F.xxhash64("text")).withColumn("upto", before(lambda c: c <= F.col("doc_id"))).withColumn("low", before(lambda c: c < F.col("doc_id")))
+    nulls = max(1, min(MOST_RANGES, (found["n"] - found["ids"]) // RANGE_ROWS))
+    part = F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1) + spread(F.lit(nulls)))
+    part = part.when(F.col("upto") - F.col("low") > 1, F.col("low") + 1 + spread(F.col("upto") - F.col("low"))).otherwise(F.col("upto"))
+    return docs.withColumn("part", part).drop("upto", "low")
 
 
 def edit_likeness(docs: DataFrame, words: int = 5, bins: int = 128) -> DataFrame:
@@ -90,29 +99,32 @@ def edit_likeness(docs: DataFrame, words: int = 5, bins: int = 128) -> DataFrame
     as many (or all) of the next document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited,
     near_next.
 
-    The next document is the next in order of (doc_id, text), null doc_ids last; after the last comes the first. A null
-    text is empty. Texts without words all have the same fingerprint. Repeated rows each have a place in the order. One
-    row is its own next. An empty table gives no rows; columns besides doc_id and text are ignored.
+    The next document is the next in order of (doc_id, hash of the text, text), null doc_ids last; after the last comes the
+    first. A null text is empty. Texts without words all have the same fingerprint. Repeated rows each have a place in the
+    order; rows that are equal in doc_id and text share a range. One row is its own next. An empty table gives no rows;
+    columns besides doc_id and text are ignored.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    base = _ranges(base)
-    keys = [F.col("doc_id").asc_nulls_last(), F.col("text")]
-    order = Window.partitionBy("part").orderBy(*keys)
-    # the first row of each range, at most MOST_RANGES rows: it follows the last row of the range before
-    heads = base.groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "text")).alias("head"))
-    heads = heads.select("part", F.col("head.text").alias("head_text"))
-    ring = Window.orderBy(F.col("part").desc())
-    after = heads.select("part", F.lag("head_text").over(ring).alias("after"), F.last("head_text").over(ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("very_first"))
-    after = _with_bins(after.select("part", F.coalesce("after", "very_first").alias("after")), "after", "after_bits", words, bins)
-    rows = base.withColumn("lead_text", F.lead("text").over(order))
-    rows = rows.join(after, "part").withColumn("next_text", F.coalesce("lead_text", "after"))
+    base = _ranges(base).withColumn("ends", F.lit(False))
+    # the first row of each range follows the last row of the range before: keys alone find it, a row for each range
+    place = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "h")
+    heads = base.groupBy("part").agg(F.min(place).alias("head"))
+    ring = Window.orderBy("part")
+    whole = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    heads = heads.select(F.col("part").alias("of"), F.coalesce(F.lag("part").over(ring), F.last("part").over(whole)).alias("before"), F.col("head.doc_id").alias("head_id"), F.col("head.h").alias("head_h"))
+    same = (F.col("part") == F.col("of")) & (F.col("h") == F.col("head_h")) & F.col("doc_id").eqNullSafe(F.col("head_id"))
+    copies = base.join(F.broadcast(heads), same).groupBy("before").agg(F.min("text").alias("text"))  # MOST_RANGES rows for each kind at most
+    ends = copies.select(F.lit(None).cast("long").alias("doc_id"), "text", F.lit(0).cast("long").alias("h"), F.col("before").alias("part"), F.lit(True).alias("ends"))
+    rows = base.select("doc_id", "text", "h", "part", "ends").unionByName(ends)
+    order = Window.partitionBy("part").orderBy("ends", F.col("doc_id").asc_nulls_last(), "h", "text")
+    rows = rows.withColumn("next_text", F.lead("text").over(order))
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     rows = rows.withColumn("n_chars", n.cast("long")).withColumn(
-        "edited", F.concat(F.col("text").substr(F.lit(1), n - half), F.col("next_text").substr(F.lit(1), half))
-    ).drop("lead_text", "next_text", "after")
+        "edited", F.concat(F.col("text").substr(F.lit(1), n - half), F.coalesce(F.col("next_text"), F.lit("")).substr(F.lit(1), half))
+    ).drop("next_text")
     rows = _with_bins(_with_bins(rows, "text", "bits", words, bins), "edited", "edited_bits", words, bins)
-    rows = rows.withColumn("next_bits", F.coalesce(F.lead("bits").over(order), F.col("after_bits")))
+    rows = rows.withColumn("next_bits", F.lead("bits").over(order)).where("NOT ends")
     return rows.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), packed("bits").alias("fingerprint"), packed("edited_bits").alias("edited_fingerprint"),
         likeness("bits", "edited_bits", bins).alias("near_edited"), likeness("bits", "next_bits", bins).alias("near_next"),
