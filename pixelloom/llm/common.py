@@ -19,7 +19,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def text_or_empty(col="text"):
-    return F.coalesce(F.col(col).cast("string"), F.lit(""))
+    return F.coalesce((F.col(col) if isinstance(col, str) else col).cast("string"), F.lit(""))
 
 
 def fold_case(col):

@@ -198,7 +198,7 @@ def node_of(hashes: np.ndarray) -> np.int64:
     return _signed(mix(np.array([hashes.sum(dtype=_U) + _U(len(hashes))], _U)))[0]
 
 
-_DOC = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), *((f"b{i}", pa.int64()) for i in range(SKETCH)), ("keys", pa.list_(pa.int64()))])
+_DOC = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), *((f"b{i}", pa.int64()) for i in range(SKETCH)), ("keys", pa.list_(pa.int64()))])
 
 
 def _documents(words: int, scheme: Scheme, repeated):
@@ -207,7 +207,7 @@ def _documents(words: int, scheme: Scheme, repeated):
     def run(batches):
         shingles, seen = Shingles(words), repeated.value
         for batch in batches:
-            out = {f.name: [] for f in _DOC} | {"doc_id": batch.column(0)}
+            out = {f.name: [] for f in _DOC} | {"doc_id": batch.column(0), "text_hash": batch.column(2)}
             for t in batch.column(1).to_pylist():
                 h = shingles.of(t)
                 out["n"].append(len(h))
@@ -274,7 +274,7 @@ class Join:
         spark = docs.sparkSession
         context = spark.sparkContext
         text = text_or_empty()
-        base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("t"))
+        base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("t"), F.xxhash64(text).alias("text_hash"))
         self.scheme = Scheme(num, den)
         short = base.where(F.octet_length("t") <= 100 * MOST_LIGHT).select(F.size(F.split(F.trim("t"), r"[\x20\x09-\x0D]+")).alias("w"))
         sizes = short.select(F.greatest(F.lit(1), F.col("w") - (words - 1)).alias("n")).where(f"n <= {MOST_LIGHT}").groupBy("n").count().collect()
@@ -283,7 +283,7 @@ class Join:
         lists = every.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot != last")
         self.lists = stored(lists, "lists")
         found = context.broadcast(KeyFilter.of(self.lists, "key"))
-        self.rows = stored(base.mapInArrow(_documents(words, self.scheme, found), "doc_id long, n long, node long, " + ", ".join(f"{b} long" for b in _SKETCH) + ", keys array<long>"), "rows")
+        self.rows = stored(base.mapInArrow(_documents(words, self.scheme, found), "doc_id long, text_hash long, n long, node long, " + ", ".join(f"{b} long" for b in _SKETCH) + ", keys array<long>"), "rows")
         info = [F.max(c).alias(c) for c in ("n", *_SKETCH)]
         self.nodes = stored(self.rows.where("n > 0").groupBy("node").agg(*info, F.min("doc_id").alias("doc_id")), "nodes")
         held = self.rows.select("node", F.explode("keys").alias("key")).distinct()
@@ -323,6 +323,13 @@ class Join:
         return components(links.union(self._verified(across)))
 
 
+def _labelled(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """(doc_id, text_hash, n, label) of every row; label: its component, null without words."""
+    join = Join(docs, words, num, den)
+    rows = join.rows.select("doc_id", "text_hash", "n", "node").join(join.labels(), "node", "left")
+    return stored(rows.select("doc_id", "text_hash", "n", F.coalesce("label", "node").alias("label")), "labelled")
+
+
 def similar_groups(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id (the least doc_id reachable by links, its own included).
 
@@ -330,10 +337,27 @@ def similar_groups(docs: DataFrame, words: int = 5, num: int = 80, den: int = 10
     shingles, link with nothing and are their own component. A null doc_id stays null and never names a component that has
     another id. Repeated rows each give a row. An empty table gives no rows; other columns are ignored.
     """
-    join = Join(docs, words, num, den)
-    label = F.coalesce("label", "node")
-    rows = join.rows.select("doc_id", "n", "node").join(join.labels(), "node", "left").select("doc_id", "n", label.alias("label"))
-    rows = stored(rows, "labelled")
+    rows = _labelled(docs, words, num, den)
     # stored, so that the join below is one of two scans, whose large groups Spark can split
     least = stored(rows.where("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("least")), "least")
     return rows.join(least, "label", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+
+
+def one_of_each_group(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The rows of docs but for near copies: of each component the row with the least doc_id (null last) and hash of the text.
+
+    Rows without words link with nothing and all stay. Of rows that are equal in doc_id and text one stays. All columns are
+    kept; columns of any name pass through. An empty table stays empty.
+    """
+    rows = _labelled(docs, words, num, den)
+    place = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "text_hash")
+    least = stored(rows.where("label IS NOT NULL").groupBy("label").agg(F.min(place).alias("least")), "least")
+    marked = rows.join(least, "label").groupBy("doc_id", "text_hash").agg(F.min(place != F.col("least")).alias("gone"), F.count("*").alias("times"))
+    marked = marked.where("gone OR times > 1").select(F.col("doc_id").alias("_near_doc"), F.col("text_hash").alias("_near_hash"), F.col("gone").alias("_near_gone"))
+    marked = stored(marked, "near")
+    names = docs.columns
+    same = docs["doc_id"].cast("long").eqNullSafe(marked["_near_doc"]) & (F.xxhash64(text_or_empty(docs["text"])) == marked["_near_hash"])
+    left = docs.join(marked, same, "left").where("_near_gone IS NULL OR NOT _near_gone")
+    once = left.where("_near_gone IS NULL")
+    again = left.where("_near_gone IS NOT NULL").dropDuplicates(["_near_doc", "_near_hash"])  # those that repeat, whole rows of them
+    return once.select(*names).unionByName(again.select(*names))

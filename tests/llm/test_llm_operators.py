@@ -142,6 +142,27 @@ def test_a_long_labelled_text_does_not_end_the_fitting_rows(spark, monkeypatch):
     assert seen == [(len(ids) - 1, {0, 1})]
 
 
+def test_a_repeated_id_is_fitted_on_one_text_whatever_the_order(spark, monkeypatch):
+    rows = [(i, f"good words number {i}" if i % 2 else f"BAD!!! {i}{i}{i}") for i in range(40)] + [(1, "BAD!!! other"), (2, "good other words"), (1, "x")]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    seen = []
+    monkeypatch.setattr(quality.NaiveBayesSvm, "fit", staticmethod(lambda texts, y: seen.append(list(zip(texts, y)))))
+    for r in (rows, rows[::-1], sorted(rows, key=str)):
+        quality.train(docs(spark, r).repartition(5), labels)
+    assert seen[0] == seen[1] == seen[2] and len(seen[0]) > 20
+
+
+def test_scores_equal_a_plain_sum_over_features():
+    texts = [f"fine prose of a kind, {i} of them." if i % 2 else f"buy buy {i} $$$ CLICK http" for i in range(60)]
+    model = quality.NaiveBayesSvm.fit(texts, [i % 2 for i in range(60)])
+    for t in ["", "a", "fine prose", "CLICK $$$ buy", "fine " * 5000]:
+        x = [int(i) for i in quality.features(t)]
+        norm = (sum(float(model.r[i]) ** 2 for i in x) + 1) ** 0.5
+        margin = sum(float(model.r[i]) * float(model.w[i]) for i in x) / norm + float(model.w[-1])
+        assert abs(model.score(t) - 1 / (1 + np.exp(-(model.slope * margin + model.shift)))) < 1e-5
+    assert min(model.score(t) for t in texts[1::2]) > max(model.score(t) for t in texts[::2])
+
+
 def test_quality_on_awkward_rows(spark):
     labels = spark.createDataFrame([(0, 1), (0, 0), (1, 1), (2, 0), (5, None), (None, 1), (7, 1), (8, 0), (10, 1), (13, 0)], "doc_id long, quality int")
     got = quality.quality_scores(docs(spark), labels).collect()
@@ -172,6 +193,34 @@ def test_sharding(spark):
     assert {(d, 8 + len((t or "").encode()), zlib.crc32((t or "").encode())) for d, t in DOCS} <= one
 
 
+def shard_bytes(rows):
+    held = Counter()
+    for r in rows:
+        held[r["shard"]] += r["size"]
+    return [held[x] for x in range(24)]
+
+
+def test_shards_are_near_equal_whatever_the_ids(spark):
+    texts = ["x" * (i * 13 % 60) for i in range(6000)]
+    for ids in (lambda i: i, lambda i: None if i % 3 else i, lambda i: 7 if i % 3 else i, lambda i: None):
+        held = shard_bytes(sharding.shard(docs(spark, [(ids(i), t) for i, t in enumerate(texts)]), 24).collect())
+        assert sum(held) == sum(8 + len(t) for t in texts) and max(held) - min(held) <= 2 * 68
+
+
+def test_a_stored_map_is_edited_and_never_written_twice(spark, tmp_path):
+    path, rows = f"file://{tmp_path}/map", docs(spark, [(i, "y" * (i % 90)) for i in range(4000)])
+    first = sharding.shard(rows, 24, path=path).collect()
+    again = sharding.shard(rows, 24, path=path).collect()
+    assert len(again) == len(first) == 4000 and sharding.versions(spark, path) == [1, 2, 3]
+    assert {(r["doc_id"], r["shard"]) for r in first} == {(r["doc_id"], r["shard"]) for r in again}  # nothing to mend
+    grown = sharding.shard(rows, 25, path=path).collect()
+    moved = sum(a["shard"] != b["shard"] for a, b in zip(sorted(first), sorted(grown)))
+    assert {r["shard"] for r in grown} == set(range(25)) and moved < 800
+    with pytest.raises(Exception, match="exist"):
+        sharding.write_map(spark, path, 2, [0] * sharding.SLOTS)
+    assert len(sharding.read_map(spark, path, 1).collect()) == sharding.SLOTS
+
+
 def test_rebalancing_narrows_and_keeps_most_slots():
     sizes = np.random.default_rng(3).integers(0, 1000, 4096).tolist()
     first = sharding.striped(24)
@@ -397,6 +446,56 @@ def test_fingerprints(spark, sample):
     assert len({r["fingerprint"] for r in same if r["text"] == BASE}) == 1
 
 
+def plain_fingerprint(text, words=5, bins=128):
+    """One-permutation MinHash step by step, with the library's own xxhash64 as Spark has it (seed 42, chained over values)."""
+    import xxhash
+
+    def chain(raws, h=42):
+        for raw in raws:
+            h = xxhash.xxh64_intdigest(raw, h)
+        return h
+
+    long = lambda x: (x % 2**64).to_bytes(8, "little")
+    w = [long(chain([x.encode()])) for x in re.split("[\x20\x09-\x0D]+", (text or "").translate(LOW)) if x]
+    hashes = [] if not w else [chain(w)] if len(w) < words else [chain(w[i : i + words]) for i in range(len(w) - words + 1)]
+    least = {}
+    for h in hashes:
+        h &= 2**63 - 1
+        least[h >> 56] = min(h, least.get(h >> 56, h))
+    if not least:
+        return "ff" * bins
+    signed = lambda x: x - 2**64 if x >= 2**63 else x
+    out = []
+    for b in range(bins):
+        y = least[b] if b in least else min((signed(chain([b.to_bytes(4, "little"), long(c)])), least[c]) for c in least)[1]
+        out.append(f"{y & 255:02x}")
+    return "".join(out)
+
+
+def test_fingerprints_equal_brute_force(spark, sample):
+    rows = DOCS + [(1000 + i, t) for i, t in sample[:40]]
+    got = {r["doc_id"]: r for r in fingerprints.edit_likeness(docs(spark, rows)).collect() if r["doc_id"] and r["doc_id"] >= 1000}
+    order = [t or "" for d, t in sorted(((d, t) for d, t in rows if d and d >= 1000), key=lambda r: r[0])]
+    like = lambda x, y: max(0.0, (sum(x[i : i + 2] == y[i : i + 2] for i in range(0, 256, 2)) / 128 - 1 / 256) / (1 - 1 / 256))
+    for i, (a, b) in enumerate(zip(order, order[1:])):
+        r, h = got[1000 + i], len(a) // 2
+        edited, prints = a[: len(a) - h] + b[:h], [plain_fingerprint(x) for x in (a, b)]
+        assert (r["fingerprint"], r["edited_fingerprint"]) == (prints[0], plain_fingerprint(edited))
+        assert abs(r["near_edited"] - like(prints[0], r["edited_fingerprint"])) < 1e-9 and abs(r["near_next"] - like(*prints)) < 1e-9
+
+
+@pytest.mark.parametrize("ids", [lambda i: None, lambda i: 5, lambda i: None if i % 2 else i, lambda i: i % 3])
+def test_every_row_of_repeated_ids_has_one_next_row(spark, monkeypatch, ids):
+    monkeypatch.setattr(fingerprints, "RANGE_ROWS", 40)
+    rows = [(ids(i), f"text number {i} of some words") for i in range(500)]
+    ranges = fingerprints._ranges(docs(spark, rows).select("doc_id", "text"))
+    assert ranges.groupBy("part").count().agg(F.max("count")).first()[0] < 200
+    got = fingerprints.edit_likeness(docs(spark, rows)).collect()
+    lasts = {hashlib.sha256((a[: len(a) - len(a) // 2] + b[: len(a) // 2]).encode()).hexdigest(): (x, y) for x, (d, a) in enumerate(rows) for y, (e, b) in enumerate(rows)}
+    pairs = [lasts[r["edited_sha256"]] for r in got]
+    assert len(got) == 500 and len({x for x, _ in pairs}) == 500
+
+
 def test_fingerprint_likeness_is_unbiased(spark):
     g = np.random.default_rng(4)
     rows, want = [], []
