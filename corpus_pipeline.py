@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from pixelloom.llm.common import shared_dir, table
 from pixelloom.llm.decontaminate import contamination
-from pixelloom.llm.ngram_join import similar_groups
+from pixelloom.llm.ngram_join import one_of_each_group
 from pixelloom.llm.packing import pack
 from pixelloom.llm.quality import accepted
 
@@ -26,14 +26,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of five-word-shingle similarity 0.8 or more: the one with the least doc_id.
+    """One document of each group of five-word-shingle similarity 0.8 or more: the one with the least doc_id, null last.
 
-    Documents without words are groups of one. Rows with a null doc_id can't be told apart and stay. Of rows that repeat a
-    doc_id all stay or none.
+    Rows of one doc_id are told apart by their text; of rows equal in both, one stays. Documents without words all stay.
     """
-    groups = similar_groups(docs, words=5, num=80, den=100)
-    gone = groups.where("component_id != doc_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+    return one_of_each_group(docs, words=5, num=80, den=100)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
