@@ -1,13 +1,14 @@
 """Benchmark decontamination through a distributed positional inverted index, in DataFrame operations only.
 
-Index: postings (term, doc_id key, position) of the training tokens. Only lists that a query on this test set reads are
-stored: those of the `anchors` rarest terms of each test window, by the terms' counts over the whole corpus. A window is
-`width` consecutive words of an item (the whole item, if it has fewer).
+Index: postings (term, document key, position) of the training tokens, stored as a table. `build_index(docs)` stores all of
+them, for any later benchmark; the query, which has one benchmark, stores the lists that its search reads: those of the
+`anchors` rarest terms of each test window, by the terms' counts over the whole corpus. A window is `width` consecutive words
+of an item (the whole item, if it has fewer); equal windows are one.
 
-Search: a posting at document position p of a term at item position i lies on the alignment p - i. Intersecting the
-offset-adjusted lists is then an aggregation by (document, item, alignment): an alignment is kept if all anchors of some
-window of the item are there. What is left is compared word by word, which also gives the exact occurrences.
-Proximity matches use the same lists with a tolerance (`near`).
+Search: a posting at document position p of a term at offset o of a window puts the window at p - o. Intersecting the
+offset-adjusted lists is an aggregation by (document, window, place): a place is kept if all the window's anchors are there.
+The places of a document meet in one row, where its text is split once and the window's words are compared by hash at each
+of them: the work is linear in the text and its places. Proximity matches use the same lists with a tolerance.
 
 Words: A-Z are lower-cased; a word is a run of ASCII letters, digits and characters beyond ASCII.
 """
@@ -21,8 +22,8 @@ from .common import LOWER, UPPER, broadcast_if_small, let, stored, text_or_empty
 
 #: As a SQL string.
 WORDS_SQL = rf"filter(split(translate({{}}, '{UPPER}', '{LOWER}'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), x -> x != '')"
-#: Rows of a test-side table up to which it is broadcast (counted first); beyond it both sides are shuffled.
-MOST_BROADCAST = 200_000
+#: Bytes of a stored test-side table up to which it is broadcast (summed first); beyond it both sides are shuffled.
+MOST_BROADCAST = 32_000_000
 
 
 def words_of(text: str) -> Column:
@@ -30,11 +31,18 @@ def words_of(text: str) -> Column:
     return F.expr(WORDS_SQL.format(text))
 
 
-def test_items(benchmark: DataFrame, width: int) -> DataFrame:
-    """(seq, words, n, size): each distinct non-empty word sequence once; size is the window's width."""
-    items = benchmark.select(text_or_empty().alias("text")).select(words_of("text").alias("words")).where(F.size("words") > 0).distinct()
-    n = F.size("words")
-    return items.select(F.xxhash64("words").alias("seq"), "words", n.alias("n"), F.least(n, F.lit(width)).alias("size"))
+def sized(df: DataFrame, row: int, text: str | None = None) -> DataFrame:
+    """A stored table, marked for broadcast if its rows, of `row` bytes and those of a text column each, are few."""
+    found = df.agg(F.count("*").alias("n"), F.sum(F.octet_length(text) if text else F.lit(0)).alias("b")).first()
+    return broadcast_if_small(df, found["n"] * row + (found["b"] or 0), MOST_BROADCAST)
+
+
+def test_windows(benchmark: DataFrame, width: int) -> DataFrame:
+    """(item, window, words, size): every window of every non-empty item; window is a hash of its words."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), words_of("text").alias("w")).where(F.size("w") > 0).distinct()
+    size = F.least(F.size("w"), F.lit(width))
+    at = items.select("item", "w", size.alias("size"), F.explode(F.sequence(F.lit(1), F.size("w") - size + 1)).alias("s"))
+    return at.select("item", F.expr("slice(w, s, size)").alias("words"), "size").withColumn("window", F.xxhash64("words")).distinct()
 
 
 def tokens(docs: DataFrame) -> DataFrame:
@@ -42,85 +50,67 @@ def tokens(docs: DataFrame) -> DataFrame:
     return docs.select("key", F.posexplode(words_of("text")).alias("pos", "term"))
 
 
-def corpus_counts(docs: DataFrame, items: DataFrame) -> DataFrame:
+def corpus_counts(docs: DataFrame, windows: DataFrame) -> DataFrame:
     """(term, freq): counts over the whole corpus of the terms of the test set; 0 where a term doesn't occur."""
-    terms = stored(items.select(F.explode("words").alias("term")).distinct(), "terms")
-    found = tokens(docs).join(broadcast_if_small(terms, terms.count(), MOST_BROADCAST), "term").groupBy("term").agg(F.count("*").alias("freq"))
+    terms = stored(windows.select(F.explode("words").alias("term")).distinct(), "terms")
+    found = tokens(docs).join(sized(terms, 40, "term"), "term").groupBy("term").agg(F.count("*").alias("freq"))
     return terms.join(found, "term", "left").select("term", F.coalesce("freq", F.lit(0)).alias("freq"))
 
 
-def anchor_terms(items: DataFrame, counts: DataFrame, anchors: int) -> DataFrame:
-    """(seq, start, i, term): the item positions of each window's rarest terms; none for windows with an absent term."""
-    at = items.select("seq", "n", "size", F.posexplode("words").alias("i", "term")).join(counts, "term")
-    starts = F.sequence(F.greatest(F.lit(0), F.col("i") - F.col("size") + 1), F.least(F.col("i"), F.col("n") - F.col("size")))
-    rows = at.select("seq", "i", "term", "freq", F.explode(starts).alias("start"))
-    w = Window.partitionBy("seq", "start").orderBy("freq", "i")
-    # one position for each term: a repeated word adds nothing to the intersection
-    first = rows.withColumn("again", F.row_number().over(Window.partitionBy("seq", "start", "term").orderBy("i"))).where("again = 1")
-    ranked = first.withColumn("rank", F.row_number().over(w)).withColumn("least", F.min("freq").over(Window.partitionBy("seq", "start")))
-    return ranked.where((F.col("rank") <= anchors) & (F.col("least") > 0)).select("seq", "start", "i", "term")
+def anchor_terms(windows: DataFrame, counts: DataFrame, anchors: int) -> DataFrame:
+    """(window, size, o, term, need): the offsets of each distinct window's rarest terms; none for windows with an absent term."""
+    each = windows.select("window", "words", "size").dropDuplicates(["window"])
+    at = each.select("window", "size", F.posexplode("words").alias("o", "term")).groupBy("window", "size", "term").agg(F.min("o").alias("o")).join(counts, "term")
+    whole = Window.partitionBy("window")
+    ranked = at.withColumn("rank", F.row_number().over(whole.orderBy("freq", "o"))).withColumn("least", F.min("freq").over(whole)).withColumn("terms", F.count("*").over(whole))
+    kept = ranked.where((F.col("rank") <= anchors) & (F.col("least") > 0))
+    return kept.select("window", "size", "o", "term", F.least(F.col("terms"), F.lit(anchors)).alias("need"))
 
 
-def build_index(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """Stored postings (term, key, pos) of the given terms in every text."""
-    n = terms.count()
-    return stored(tokens(docs).join(broadcast_if_small(terms, n, MOST_BROADCAST), "term").select("term", "key", "pos"), "postings")
+def build_index(docs: DataFrame, terms: DataFrame | None = None, path: str | None = None) -> DataFrame:
+    """Stored postings (term, key, pos) of every text (key, text): of all terms, or of a table of distinct terms."""
+    rows = tokens(docs) if terms is None else tokens(docs).join(sized(terms, 40, "term"), "term")
+    return stored(rows.select("term", "key", "pos"), "postings", path)
 
 
-def alignments(index: DataFrame, anchors: DataFrame) -> DataFrame:
-    """(key, seq, shift): alignments on which all anchors of one window at least were found."""
-    at = stored(anchors.groupBy("seq", "i", "term").agg(F.collect_list("start").alias("starts")), "anchors")
-    need = anchors.groupBy("seq", "start").agg(F.count("*").alias("need"))
-    hits = index.join(broadcast_if_small(at, at.count(), MOST_BROADCAST), "term").select(
-        "key", "seq", (F.col("pos") - F.col("i")).alias("shift"), F.explode("starts").alias("start")
-    )
-    found = hits.groupBy("key", "seq", "shift", "start").agg(F.count("*").alias("got"))
-    need = stored(need, "need")
-    return (
-        found.join(broadcast_if_small(need, need.count(), MOST_BROADCAST), ["seq", "start"])
-        .where("got >= need")  # rows that repeat count their postings more than once; the comparison of words decides
-        .select("key", "seq", "shift")
-        .distinct()
-    )
+def places(index: DataFrame, anchors: DataFrame) -> DataFrame:
+    """(key, window, size, place): where all of a window's anchors are."""
+    hits = index.join(sized(anchors, 60, "term"), "term").select("key", "window", "size", "need", (F.col("pos") - F.col("o")).alias("place"))
+    met = hits.where("place >= 0").groupBy("key", "window", "size", "need", "place").agg(F.count("*").alias("got"))
+    return met.where("got >= need").drop("got", "need")  # rows that repeat count their postings more than once; the words decide
 
 
-def exact_matches(docs: DataFrame, candidates: DataFrame, items: DataFrame) -> DataFrame:
-    """(key, seq, starts, shift, size): item positions at which windows occur in the text, word by word."""
-    items = stored(items, "items")
-    candidates = stored(candidates, "candidates")
-    keys = stored(candidates.select("key").distinct(), "keys")
-    if keys.count() <= MOST_BROADCAST:  # few enough: texts without a candidate stay where they are
-        docs = docs.join(F.broadcast(keys), "key", "left_semi")
-    of_item = candidates.join(broadcast_if_small(items, items.count(), MOST_BROADCAST), "seq")
-    both = of_item.join(docs.select("key", "text"), "key")
-    same = "array_join(transform(words, (w, i) -> CASE WHEN get(d, shift + i) = w THEN '1' ELSE '0' END), '')"
-    mask = let("d", WORDS_SQL.format("text"), same)
-    starts = let("mask", mask, "filter(sequence(0, n - size), s -> substr(mask, s + 1, size) = repeat('1', size))")
-    return both.select("key", "seq", "shift", "size", F.expr(starts).alias("starts")).where(F.size("starts") > 0)
+def exact_matches(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """(key, hits): a document's places, as (place, size, window), at which its words are the window's; one row per key."""
+    per = stored(found.groupBy("key").agg(F.collect_set(F.struct("place", "size", "window")).alias("hits")), "places")
+    keys = stored(per.select("key"), "keys")
+    # few enough: texts without a place stay where they are
+    docs = docs.join(sized(keys, 40), "key", "left_semi").dropDuplicates(["key"])
+    same = "filter(hits, x -> x.place + x.size <= size(d) AND xxhash64(slice(d, x.place + 1, x.size)) = x.window)"
+    both = per.join(docs.select("key", "text"), "key").select("key", F.expr(let("d", WORDS_SQL.format("text"), same)).alias("hits"))
+    return both.where(F.size("hits") > 0)
 
 
-def phrase_matches(docs: DataFrame, benchmark: DataFrame, width: int = 13, anchors: int = 3) -> DataFrame:
-    """Exact occurrences of the windows of benchmark in docs (key, text): key, seq, shift, size, starts."""
-    items = stored(test_items(benchmark, width), "test")
-    rare = stored(anchor_terms(items, corpus_counts(docs, items), anchors), "rarest")
-    index = build_index(docs, rare.select("term").distinct())
-    return exact_matches(docs, alignments(index, rare), items)
+def phrase_matches(docs: DataFrame, benchmark: DataFrame, width: int = 13, anchors: int = 3, index: DataFrame | None = None) -> DataFrame:
+    """Exact occurrences of the windows of benchmark in docs (key, text): key, hits. index: one of all terms, if there is one."""
+    windows = stored(test_windows(benchmark, width), "windows")
+    rare = stored(anchor_terms(windows, corpus_counts(docs, windows), anchors), "rarest")
+    if index is None:
+        index = build_index(docs, stored(rare.select("term").distinct(), "terms"))
+    return exact_matches(docs, places(index, rare))
 
 
-def proximity_matches(docs: DataFrame, benchmark: DataFrame, width: int = 13, anchors: int = 3, slack: int = 2) -> DataFrame:
-    """(key, seq, start): windows all of whose rarest terms occur in a text, their alignments at most `slack` apart.
-
-    The spread is the difference between the largest and least of neighbouring alignments, one for each anchor.
-    """
-    items = stored(test_items(benchmark, width), "test")
-    rare = stored(anchor_terms(items, corpus_counts(docs, items), anchors), "rarest")
-    index = build_index(docs, rare.select("term").distinct())
-    need = rare.groupBy("seq", "start").agg(F.count("*").alias("need"))
-    hits = index.join(rare, "term").select("key", "seq", "start", "i", (F.col("pos") - F.col("i")).alias("shift"))
-    # a posting counts for every span of alignments [from, from + slack] that it lies in
-    spans = hits.select("key", "seq", "start", "i", F.explode(F.sequence(F.col("shift") - slack, F.col("shift"))).alias("from"))
-    met = spans.groupBy("key", "seq", "start", "from").agg(F.count_distinct("i").alias("got"))
-    return met.join(need, ["seq", "start"]).where("got = need").select("key", "seq", "start").distinct()
+def proximity_matches(docs: DataFrame, benchmark: DataFrame, width: int = 13, anchors: int = 3, slack: int = 2, index: DataFrame | None = None) -> DataFrame:
+    """(key, item, window): windows all of whose rarest terms occur in a text, the places that they put it at `slack` apart at most."""
+    windows = stored(test_windows(benchmark, width), "windows")
+    rare = stored(anchor_terms(windows, corpus_counts(docs, windows), anchors), "rarest")
+    if index is None:
+        index = build_index(docs, stored(rare.select("term").distinct(), "terms"))
+    hits = index.join(sized(rare, 60, "term"), "term").select("key", "window", "need", "o", (F.col("pos") - F.col("o")).alias("place"))
+    # a posting counts for every span of places [from, from + slack] that it lies in
+    spans = hits.select("key", "window", "need", "o", F.explode(F.sequence(F.col("place") - slack, F.col("place"))).alias("from"))
+    met = spans.groupBy("key", "window", "need", "from").agg(F.count_distinct("o").alias("got")).where("got = need")
+    return met.select("key", "window").distinct().join(windows.select("window", "item").distinct(), "window").select("key", "item", "window")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13, anchors: int = 3) -> DataFrame:
@@ -134,17 +124,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13, anchor
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     base = base.withColumn("key", F.struct("doc_id", F.xxhash64("text").alias("h")))
     matches = stored(phrase_matches(base.select("key", "text"), benchmark, width, anchors), "matches")
-    ids = benchmark.select(text_or_empty().alias("text"), F.col("item_id").cast("string").alias("item"))
-    ids = ids.select(F.xxhash64(words_of("text")).alias("seq"), "item").where("item IS NOT NULL").distinct()
-    hit = (
-        matches.select("key", F.explode("starts").alias("s"), "shift", "size")
-        .select("key", F.explode(F.expr("sequence(shift + s, shift + s + size - 1)")).alias("pos"))
-        .distinct()
-        .groupBy("key")
-        .agg(F.count("*").alias("n_hit"))
-    )
+    # words in the union of the places, which are taken in order
+    covered = F.expr("""aggregate(array_sort(transform(hits, x -> struct(x.place AS a, x.place + x.size AS z))), struct(0 AS upto, 0L AS n),
+        (s, x) -> struct(greatest(s.upto, x.z) AS upto, s.n + greatest(0, x.z - greatest(x.a, s.upto)) AS n), s -> s.n)""")
+    hit = matches.select("key", covered.alias("n_hit"))
+    ids = stored(test_windows(benchmark, width).where("item IS NOT NULL").select("window", "item").distinct(), "items")
     listed = (
-        matches.select("key", "seq").distinct().join(ids, "seq").groupBy("key")
+        matches.select("key", F.explode(F.array_distinct(F.transform("hits", lambda x: x["window"]))).alias("window")).join(sized(ids, 40, "item"), "window").groupBy("key")
         .agg(F.array_sort(F.collect_set("item")).alias("found"))
         .select("key", F.size("found").cast("long").alias("n_items"), F.sha2(F.array_join("found", ","), 256).alias("items_sha256"))
     )

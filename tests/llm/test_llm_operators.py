@@ -87,6 +87,24 @@ def test_proximity_finds_a_phrase_with_a_word_put_in(spark):
     assert [r[0] for r in near] == [1] and decontaminate.phrase_matches(d, b).count() == 0
 
 
+def test_a_text_of_one_repeated_word_is_linear_work(spark):
+    import time
+
+    rows, items = [(1, "the " * 20_000), (2, "the cat"), (3, "the " * 12)], [(1, "the"), (2, "the " * 13), (3, "the the the"), (4, "cat")]
+    began = time.time()
+    got = decontaminate.contamination(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string")).drop("text_hash").collect()
+    assert Counter(map(tuple, got)) == Counter(windows_brute(rows, items)) and time.time() - began < 60
+
+
+def test_a_stored_index_serves_another_benchmark(spark, tmp_path):
+    rows = spark.createDataFrame([(i, f"left w{i} " + BASE + f" right w{i}") for i in range(5)] + [(9, "nothing here")], "key long, text string")
+    index = decontaminate.build_index(rows, path=f"file://{tmp_path}/index")
+    for text, want in ((BASE, {0, 1, 2, 3, 4}), ("right w3", {3}), ("not there", set())):
+        b = spark.createDataFrame([(1, text)], "item_id long, text string")
+        assert {r["key"] for r in decontaminate.phrase_matches(rows, b, index=index).collect()} == want
+        assert {r["key"] for r in decontaminate.proximity_matches(rows, b, index=index).collect()} == want
+
+
 PAGE = """<html><head><title>T</title><style>p{margin:0}</style></head><body><nav><a href=x>Home</a></nav><div class="wrap">{}</div><footer>&copy; f</footer></body></html>"""
 
 
