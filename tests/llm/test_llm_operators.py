@@ -112,7 +112,7 @@ def test_extraction_of_an_article():
     page = PAGE.replace("{}", '<article><h1>Title &amp; more</h1><p>One <b>two</b>\n three<br>four<p>Five<ul><li>six<li>seven</ul><div class="share">Share</div><aside>no</aside><div id="comments"><p>Nice</div></article><form><p>x</form>', 1)
     page = page.replace("{}", "")
     blocks, _ = extract.parse(page)
-    assert [t for s, _, t in blocks if s == extract.MAIN] == ["Title & more", "One two three four", "Five", "six", "seven"]
+    assert [t for s, _, t, _ in blocks if s == extract.MAIN] == ["Title & more", "One two three four", "Five", "six", "seven"]
 
 
 def test_style_tree_removes_what_all_pages_of_a_host_share(spark):
@@ -133,6 +133,32 @@ def test_style_tree_decides_inside_a_main_region_too(spark):
     assert "Join our club" in got[20] and got[30].startswith("Title 1\nRead our")
 
 
+def test_a_low_node_goes_with_its_subtree(spark):
+    side = lambda i: f'<div class="x"><p>Read all of it</p><p>Good to know</p><span><{"u" if i % 2 else "i"}>Same here</span>{"<dl><dt>Rare one</dl>" if i in (2, 7) else ""}</div>'
+    body = lambda i: f'<html><body><section><p>Story {i} of {i * 31}</p><p>More {i * 17}</p></section>{side(i)}</body></html>'
+    df = spark.createDataFrame([(i, f"http://h.example/{i}", body(i)) for i in range(12)], "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in extract.main_text(df).collect()} == {i: f"Story {i} of {i * 31}\nMore {i * 17}" for i in range(12)}
+
+
+def test_extraction_does_not_hang_on_names(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    bare = pages.withColumn("html", F.regexp_replace("html", r'\s(class|id|role)="[^"]*"', ""))
+    texts = [{r["page_id"]: r["text"] for r in extract.main_text(p).collect()} for p in (pages, bare)]
+    assert texts[0] == texts[1]
+
+
+@pytest.mark.parametrize("page", [
+    "<a " * 350_000, "<div>" * 100_000 + "x", "<div>x" * 50_000, "<noscript>x" * 50_000, "<script>" * 100_000, "<div>" * 50_000 + "</p>" * 50_000, "<b>" * 50_000 + "<p/>x" * 50_000,
+    '<a "' * 100_000, "<a '<a '" * 50_000, "<li>x" * 50_000, "<" * 500_000, "<!--" * 100_000, "<span>x</i>" * 50_000, "<b><p>x</b>" * 30_000, "&" * 500_000, "<p>" + "word " * 300_000,
+], ids=lambda p: f"{p[:12]}-{len(p)}")
+def test_parsing_is_linear(page):
+    import time
+
+    began = time.process_time()
+    extract.parse(page)
+    assert time.process_time() - began < 8
+
+
 def test_extraction_of_the_sample(spark):
     import html
 
