@@ -40,23 +40,28 @@ def captures(pages: DataFrame) -> DataFrame:
     )
 
 
-def header(kind: Column, page_id: Column, url: Column, date: str, length: Column, sha1: Column, refers_to: Column) -> Column:
-    """The header block of a record, up to and with its empty line. URLs keep to one line: control characters are escaped."""
+def header(kind: Column, page_id: Column, row: Column, url: Column, date: str, length: Column, sha1: Column, refers_to: Column, lead: Column) -> Column:
+    """The header block of a record, up to and with its empty line. URLs keep to one line: control characters are escaped.
+
+    A record's id is that of its page and its row, as pages can repeat; a revisit names its response's."""
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit(CRLF))
     uri = F.regexp_replace(F.regexp_replace(url, "\r", "%0D"), "\n", "%0A")
-    rid = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("none")), F.lit(">"))
+    rid = lambda c, r: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("none")), F.lit(":"), r.cast("string"), F.lit(">"))
     return F.concat(
-        F.lit("WARC/1.1" + CRLF), line("WARC-Type", kind), line("WARC-Record-ID", rid(page_id)), line("WARC-Date", F.lit(date)), line("WARC-Target-URI", uri),
+        F.lit("WARC/1.1" + CRLF), line("WARC-Type", kind), line("WARC-Record-ID", rid(page_id, row)), line("WARC-Date", F.lit(date)), line("WARC-Target-URI", uri),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), sha1)),
-        F.when(kind == "revisit", F.concat(line("WARC-Refers-To", rid(refers_to)), line("WARC-Profile", F.lit(REVISIT)))).otherwise(F.lit("")),
+        F.when(kind == "revisit", F.concat(line("WARC-Refers-To", rid(refers_to, lead)), line("WARC-Profile", F.lit(REVISIT)))).otherwise(F.lit("")),
         line("Content-Type", F.lit("text/html; charset=utf-8")), line("Content-Length", F.when(kind == "revisit", F.lit(0)).otherwise(length).cast("string")), F.lit(CRLF),
     )
 
 
 def _gzip(batches):
+    seen: set[str] = set()  # a task's copies are packed once
     for batch in batches:
-        packed = [zlib.compress(b, 6, 31) for b in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["sha256", "packed"])
+        digests = batch.column(0).to_pylist()
+        new = [i for i, d in enumerate(digests) if d not in seen and not seen.add(d)]
+        packed = [zlib.compress(batch.column(1)[i].as_py(), 6, 31) for i in new]
+        yield pa.RecordBatch.from_arrays([pa.array([digests[i] for i in new], pa.string()), pa.array(packed, pa.binary())], names=["sha256", "packed"])
 
 
 def write_archive(pages: DataFrame, path: str | None = None, least: int = 0, date: str = "1970-01-01T00:00:00Z") -> str:
@@ -77,7 +82,7 @@ def write_archive(pages: DataFrame, path: str | None = None, least: int = 0, dat
     kind = F.when(revisit, "revisit").otherwise("response")
     records = marks.join(lead, ["sha256", "sha1", "payload_bytes"]).select(
         "page_id", "sha256", F.when(revisit, F.lit(0)).otherwise(F.col("payload_bytes")).alias("block_bytes"),
-        header(kind, F.col("page_id"), F.col("url"), date, F.col("payload_bytes"), F.col("sha1"), F.col("first")).alias("header"),
+        header(kind, F.col("page_id"), F.col("row"), F.col("url"), date, F.col("payload_bytes"), F.col("sha1"), F.col("first"), F.col("lead")).alias("header"),
     )
     records.write.mode("overwrite").parquet(f"{path}/records")
     packed = every.select("sha256", "raw").mapInArrow(_gzip, "sha256 string, packed binary")
@@ -119,8 +124,7 @@ def _digest(batches):
             sha1 = base64.b32encode(hashlib.sha1(payload).digest()).decode()
             if said["WARC-Payload-Digest"] != f"sha1:{sha1}":
                 raise ValueError(f"record {said['WARC-Record-ID']} says {said['WARC-Payload-Digest']}")
-            own = said["WARC-Record-ID"][len("<urn:page:") : -1]
-            to = said.get("WARC-Refers-To", "<urn:page:none>")[len("<urn:page:") : -1]
+            own, to = (said.get(name, "<urn:page:none:>").split(":")[2] for name in ("WARC-Record-ID", "WARC-Refers-To"))
             page.append(None if own == "none" else int(own))
             kinds.append(said["WARC-Type"])
             sizes.append(len(payload))
