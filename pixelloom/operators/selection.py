@@ -1,4 +1,4 @@
-"""Feature selection: class statistics and correlations in one aggregation each, greedy choice on a features-by-features table."""
+"""Feature selection: class statistics and correlations from one scan, greedy choice on a features-by-features table."""
 
 from __future__ import annotations
 
@@ -8,8 +8,11 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .moments import class_moments
+
 METHODS = ("mrmr", "anova", "rfe")
 
+# The names of the 93 features and their order, which stored tables and models go by.
 _SPACES = [f"color_{s}_c{c}_r{r}_{k}" for s, c, r, k in product(("lab", "hsv", "hed"), range(3), (3, 7, 15), ("mean", "std"))]
 
 
@@ -26,28 +29,45 @@ def feature_group(name: str) -> str:
     return name.split("_")[0]
 
 
+def f_values(moments: dict[object, np.ndarray]) -> list[float | None]:
+    """One-way F of every column over the classes: 0 or infinity without variance inside them; None where it has no meaning."""
+    k = next((len(m) - 1 for m in moments.values()), 0)
+    n = {y: m[-1, -1] for y, m in moments.items()}
+    total, out = sum(n.values()), []
+    for i in range(k):
+        square, whole = sum(m[i, i] for m in moments.values()), sum(m[i, -1] for m in moments.values())
+        means = sum(m[i, -1] ** 2 / n[y] for y, m in moments.items())
+        between, within = means - whole**2 / total, square - means
+        if within > 0:
+            out.append(None if len(n) < 2 or total == len(n) else float(between / (len(n) - 1) / (within / (total - len(n)))))
+        else:
+            out.append(float("inf") if between > 0 else 0.0)
+    return out
+
+
+def correlation_matrix(moments: dict[object, np.ndarray]) -> np.ndarray:
+    """|Pearson| of all pairs of columns, 0 where one is constant, 1 on the diagonal."""
+    m = sum(moments.values())
+    x = m[:-1, :-1] - np.outer(m[:-1, -1], m[:-1, -1]) / m[-1, -1]
+    scale = np.sqrt(np.maximum(np.diag(x), 0))
+    r = np.abs(np.divide(x, np.outer(scale, scale), out=np.zeros_like(x), where=np.outer(scale, scale) > 0))
+    np.fill_diagonal(r, 1.0)
+    return np.minimum(r, 1.0)
+
+
 def anova_f(df: DataFrame, names: list[str], label: str = "label") -> DataFrame:
-    """(feature, f): one-way F of every column over the label's classes. One aggregation of sums; the classes are few.
+    """(feature, f): one-way F of every column over the label's classes, from one scan; the classes are few.
 
     A column without variance inside the classes has F 0 if the class means agree, else infinity.
     """
-    # sums of squares about the overall mean, which keeps them accurate for columns far from 0
-    means = df.agg(*(F.avg(n).alias(n) for n in names)).first()
-    x = lambda n: F.col(n) - float(means[n] or 0.0)
-    stats = df.groupBy(label).agg(F.count("*").alias("n"), *(F.sum(x(n)).alias(f"{n}|s") for n in names), *(F.sum(x(n) * x(n)).alias(f"{n}|q") for n in names))
-    rows = stats.select("n", F.inline(F.array(*(F.struct(F.lit(n).alias("feature"), F.col(f"`{n}|s`").alias("s"), F.col(f"`{n}|q`").alias("q")) for n in names))))
-    per = rows.groupBy("feature").agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("b"))
-    between, within = F.col("b") - F.col("s") * F.col("s") / F.col("n"), F.col("q") - F.col("b")
-    f = F.when(within > 0, F.try_divide(between / (F.col("k") - 1), within / (F.col("n") - F.col("k")))).when(between > 0, float("inf")).otherwise(0.0)
-    return per.select("feature", f.alias("f"))
+    return df.sparkSession.createDataFrame(list(zip(names, f_values(class_moments(df, names, label)))), "feature string, f double")
 
 
 def correlations(df: DataFrame, names: list[str]) -> DataFrame:
-    """(a, b, r) for all pairs a < b in column order: |Pearson|, 0 where a column is constant. One aggregation."""
-    pairs = [(i, j) for i in range(len(names)) for j in range(i + 1, len(names))]
-    row = df.agg(*(F.abs(F.corr(names[i], names[j])).alias(f"{i}|{j}") for i, j in pairs))
-    cells = F.array(*(F.struct(F.lit(names[i]).alias("a"), F.lit(names[j]).alias("b"), F.coalesce(F.nanvl(F.col(f"`{i}|{j}`"), F.lit(0.0)), F.lit(0.0)).alias("r")) for i, j in pairs))
-    return row.select(F.inline(cells))
+    """(a, b, r) for all pairs a < b in column order: |Pearson|, 0 where a column is constant. One scan, whatever the columns."""
+    found = class_moments(df, names)
+    r = correlation_matrix(found) if found else np.zeros((len(names), len(names)))
+    return df.sparkSession.createDataFrame([(names[i], names[j], float(r[i, j])) for i in range(len(names)) for j in range(i + 1, len(names))], "a string, b string, r double")
 
 
 def high_pairs(df: DataFrame, names: list[str], over: float = 0.8) -> DataFrame:
@@ -65,14 +85,11 @@ def mrmr(df: DataFrame, names: list[str], k: int, label: str = "label") -> list[
     """Indexes in order of choice: most relevance (min-max F) less mean redundancy (|r| with those chosen); ties to the lower."""
     if not 0 < k <= len(names):
         raise ValueError("k must be between 1 and the number of columns")
-    f = {r["feature"]: r["f"] for r in anova_f(df, names, label).collect()}
-    rel = np.nan_to_num(np.array([f[n] for n in names], float), nan=0.0, posinf=np.finfo(float).max / 4)
+    found = class_moments(df, names, label)  # relevance and redundancy from the same scan
+    rel = np.nan_to_num(np.array(f_values(found), float), nan=0.0, posinf=np.finfo(float).max / 4)
     if rel.max() > rel.min():
         rel = (rel - rel.min()) / (rel.max() - rel.min())
-    at = {n: i for i, n in enumerate(names)}
-    corr = np.eye(len(names))
-    for r in correlations(df, names).collect() if len(names) > 1 else []:
-        corr[at[r["a"]], at[r["b"]]] = corr[at[r["b"]], at[r["a"]]] = r["r"]
+    corr = correlation_matrix(found)
     chosen = [int(rel.argmax())]
     while len(chosen) < k:
         value = rel - corr[:, chosen].mean(1)

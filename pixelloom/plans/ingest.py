@@ -28,7 +28,11 @@ def query(sql: str | None = None):
 
 def _folder(spark, name: str) -> str:
     """A new folder that executors share: under spark.checkpoint.dir, or local where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.gettempdir()
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.gettempdir()
     return f"{base}/pixelloom-{name}-{uuid.uuid4().hex}"
 
 

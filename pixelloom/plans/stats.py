@@ -94,10 +94,12 @@ def sample_proportional(spark, sf_dir):
     return S.stratified_sample(feature_rows(spark, sf_dir).select("row_id", "label"), 50, least_one=True)
 
 
-@query(with_sql("feats") + f""", s AS (SELECT label, CASE WHEN {unit_sql("'42'", "'split'", "row_id")} < 0.2 THEN 'valid' ELSE 'train' END AS part FROM feats)
-SELECT part, label, count(*) AS n FROM s GROUP BY 1, 2""")
+@query(with_sql("feats") + f""", u AS (SELECT row_id, label, {unit_sql("'42'", "'split'", "row_id")} AS u FROM feats), r AS (
+  SELECT label, row_id, rank() OVER (PARTITION BY label ORDER BY u, row_id) AS r, count(*) OVER (PARTITION BY label) AS n FROM u)
+SELECT CASE WHEN r <= floor(0.2 * n) THEN 'valid' ELSE 'train' END AS part, label, count(*) AS n, CAST(sum(row_id % 1000) AS BIGINT) AS ids FROM r GROUP BY 1, 2""")
 def sample_split(spark, sf_dir):
-    return S.split(feature_rows(spark, sf_dir).select("row_id", "label")).groupBy("part", "label").agg(F.count("*").alias("n"))
+    parts = S.split(feature_rows(spark, sf_dir).select("row_id", "label"), label="label")
+    return parts.groupBy("part", "label").agg(F.count("*").alias("n"), F.sum(F.col("row_id") % 1000).cast("long").alias("ids"))
 
 
 @query(with_sql("feats") + " SELECT label, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) + 0.0 AS share FROM feats GROUP BY 1")

@@ -6,6 +6,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def ingest_stream(stream: DataFrame, path: str, step: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
@@ -22,8 +23,15 @@ def ingest_stream(stream: DataFrame, path: str, step: Callable[[DataFrame], Data
     return spark.read.option("basePath", f"{path}/data").parquet(f"{path}/data/batch=*")
 
 
+def latest(table: DataFrame, key: str) -> DataFrame:
+    """One row of each key of an ingested table: that of the last micro-batch."""
+    return table.groupBy(key).agg(F.max_by(F.struct(*(c for c in table.columns if c != key)), "batch").alias("_row")).select(key, "_row.*").select(*table.columns)
+
+
 def ingest_parquet(spark: SparkSession, source: str, path: str, key: str, per_batch: int = 64) -> DataFrame:
-    """Take in the Parquet files of a folder (or one file), at most per_batch files in a micro-batch; resumes from path's checkpoint."""
+    """Take in the Parquet files of a folder (or one file), at most per_batch files in a micro-batch; resumes from path's checkpoint.
+
+    Of rows with one key in a micro-batch one is kept; a key that comes again in a later one is kept by `latest`, not here."""
     schema = spark.read.parquet(source).schema
     # a single file is streamed from its folder, by name
     folder, _, name = source.rstrip("/").rpartition("/")

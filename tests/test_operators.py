@@ -90,18 +90,78 @@ def test_feature_registry():
     assert len(names) == len(set(names)) == 93 and names[0] == "od_R" and names[85:87] == ["entropy", "edge_dist"] and names[-1] == "glcm_ASM"
 
 
-def test_mrmr_prefers_relevant_columns_that_differ(spark):
-    g = np.random.default_rng(42)
-    x = g.normal(size=(500, 10))
-    x[:, 2] = 0.95 * x[:, 0] + 0.05 * x[:, 2]
-    y = (x[:, 0] + x[:, 5] > 0).astype(int)
-    df = spark.createDataFrame([(*map(float, r), int(t)) for r, t in zip(x, y)], ", ".join(f"f{i} double" for i in range(10)) + ", label long")
-    got = X.mrmr(df, [f"f{i}" for i in range(10)], 3)
-    assert 5 in got and {0, 2} & set(got) and len(set(got)) == 3
+def blocks(spark, copies=40):
+    """Columns a and b say y together, c nearly repeats a, d is constant, e is unrelated."""
+    rows = []
+    for i in range(16 * copies):
+        a, b, e = i % 4, i // 4 % 4, i % 7
+        rows.append((float(a), float(b), a + 0.01 * (i % 3), 1.5, float(e), int(a + b > 2)))
+    return spark.createDataFrame(rows, "a double, b double, c double, d double, e double, label int"), np.array(rows)
+
+
+def test_mrmr_takes_what_says_something_new(spark):
+    df, _ = blocks(spark)
+    got = X.mrmr(df, list("abcde"), 2)
+    assert 1 in got and {0, 2} & set(got)  # b, and one of the two that say the same
     with pytest.raises(ValueError):
-        X.mrmr(df, ["f0"], 2)
+        X.mrmr(df, ["a"], 2)
     with pytest.raises(ValueError):
-        X.select(df, ["f0"], 1, "unknown")
+        X.select(df, ["a"], 1, "unknown")
+
+
+def test_moments_give_correlations_and_f(spark):
+    df, x = blocks(spark)
+    r = {(v["a"], v["b"]): v["r"] for v in X.correlations(df, list("abcde")).collect()}
+    assert abs(r["a", "c"] - abs(np.corrcoef(x[:, 0], x[:, 2])[0, 1])) < 1e-12 and r["a", "d"] == 0 and len(r) == 10
+    f = {v["feature"]: v["f"] for v in X.anova_f(df, list("abcde")).collect()}
+    groups = [x[x[:, 5] == k, 1] for k in (0, 1)]
+    between = sum(len(g) * (g.mean() - x[:, 1].mean()) ** 2 for g in groups)
+    within = sum(((g - g.mean()) ** 2).sum() for g in groups)
+    assert abs(f["b"] / (between / (within / (len(x) - 2))) - 1) < 1e-9 and f["d"] == 0
+
+
+def test_ninety_three_columns_take_one_scan(spark):
+    g = np.random.default_rng(3)
+    x = g.normal(size=(400, 93)) @ g.normal(size=(93, 93)) * 0.2
+    names = X.feature_names()
+    df = spark.createDataFrame([(*map(float, v), i % 3) for i, v in enumerate(x)], ", ".join(f"`{n}` double" for n in names) + ", label int")
+    want = np.abs(np.corrcoef(x.T))
+    got = X.correlations(df, names).collect()
+    at = {n: i for i, n in enumerate(names)}
+    assert len(got) == 93 * 92 // 2 and max(abs(v["r"] - want[at[v["a"]], at[v["b"]]]) for v in got) < 1e-9
+    assert len(X.mrmr(df, names, 20)) == 20
+
+
+def test_exact_percentiles(spark):
+    import pandas as pd
+
+    from pixelloom.operators import scaling
+
+    g = np.random.default_rng(5)
+    data = pd.DataFrame({"a": g.normal(size=3001), "b": g.integers(0, 5, 3001).astype(float), "c": np.full(3001, 2.0)})
+    p = [0.0, 0.01, 0.25, 0.5, 0.777, 0.95, 1.0]
+    got = scaling.exact_percentiles(spark.createDataFrame(data), dict.fromkeys("abc", p))
+    for n in "abc":
+        assert np.allclose(got[n], np.quantile(data[n], p), atol=1e-12)
+    assert scaling.exact_percentiles(spark.createDataFrame([], "a double"), {"a": [0.5]}) == {"a": None}
+
+
+def test_normal_quantiles(spark):
+    from statistics import NormalDist
+
+    from pixelloom.operators import scaling
+
+    u = [1e-7, 0.001, 0.02, 0.0243, 0.3, 0.5, 0.9, 0.98, 1 - 1e-7]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in u], "u double").select(scaling._normal_quantile(F.col("u"))).collect()]
+    assert np.allclose(got, [NormalDist().inv_cdf(x) for x in u], atol=1e-7)
+
+
+def test_split_keeps_the_shares_of_labels(spark):
+    from pixelloom.operators import sampling
+
+    df = spark.range(5000).selectExpr("id AS row_id", "CASE WHEN id % 10 = 0 THEN NULL WHEN id % 10 < 3 THEN 'x' ELSE 'y' END AS label")
+    parts = {(r["label"], r["part"]): r["count"] for r in sampling.split(df, 0.2, label="label").groupBy("label", "part").count().collect()}
+    assert parts["x", "valid"] == 200 and parts["y", "valid"] == 700 and sum(parts.values()) == 5000
 
 
 # A published confusion matrix (true by predicted) and its macro-F1.
@@ -117,11 +177,23 @@ def test_curves_collapse_ties(spark):
 
 
 def test_blend_and_simplex(spark):
-    df = spark.createDataFrame([(0.8, 0.6), (0.1, 0.3)], "rf double, lgbm double")
-    assert [round(r["p1"], 9) for r in B.blend(df, {"rf": 0.5, "lgbm": 0.5}).collect()] == [0.7, 0.2]
+    df = spark.createDataFrame([(0.25, 1.0), (0.5, 0.0)], "one double, two double")
+    assert [round(r["p1"], 9) for r in B.blend(df, {"one": 3, "two": 1}).collect()] == [0.4375, 0.375]
     assert len(B.simplex(10)) == 66 and len(B.simplex(2)) == 6
 
 
+def test_weight_surface_counts_every_vector(spark):
+    g = np.random.default_rng(9)
+    p, y = g.random((500, 3)), g.integers(0, 2, 500)
+    df = spark.createDataFrame([(*map(float, v), int(t)) for v, t in zip(p, y)], "a double, b double, c double, label int")
+    got = {(r["w_a"], r["w_b"], r["w_c"]): r["macro_f1"] for r in B.weight_surface(df, ("a", "b", "c"), parts=4).collect()}
+    assert len(got) == 15
+    for w, f in got.items():
+        hit = p @ np.array(w) > 2
+        one = lambda h, t: 2 * (h & t).sum() / max(1, h.sum() + t.sum())
+        assert abs(f - (one(hit, y == 1) + one(~hit, y == 0)) / 2) < 1e-9
+
+
 def test_npy_headers():
     x = np.arange(6, dtype=np.float32).reshape(2, 3)
     assert (npy.load(npy.dump(x)) == x).all()
