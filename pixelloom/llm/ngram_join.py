@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FOLD, stored, text_or_empty
+from .common import FOLD, broadcast_if_small, stored, text_or_empty
 from .components import components
 from .wordbpe import _Cache
 
@@ -38,6 +38,8 @@ from .wordbpe import _Cache
 MOST_LIGHT, SCAN = 40, 3
 #: Bits of the fixed-size filters with which later scans skip keys and texts that cannot matter (a join decides).
 FILTER_BITS = 1 << 26
+#: Bytes of the table of rows to drop up to which it is broadcast (counted first); beyond it texts are shuffled.
+MOST_BROADCAST = 32_000_000
 #: Parity sketches have so many words of 64 bits.
 SKETCH = 16
 _U = np.uint64
@@ -355,6 +357,7 @@ def one_of_each_group(docs: DataFrame, words: int = 5, num: int = 80, den: int =
     marked = rows.join(least, "label").groupBy("doc_id", "text_hash").agg(F.min(place != F.col("least")).alias("gone"), F.count("*").alias("times"))
     marked = marked.where("gone OR times > 1").select(F.col("doc_id").alias("_near_doc"), F.col("text_hash").alias("_near_hash"), F.col("gone").alias("_near_gone"))
     marked = stored(marked, "near")
+    marked = broadcast_if_small(marked, 40 * marked.count(), MOST_BROADCAST)  # few enough: texts stay where they are
     names = docs.columns
     same = docs["doc_id"].cast("long").eqNullSafe(marked["_near_doc"]) & (F.xxhash64(text_or_empty(docs["text"])) == marked["_near_hash"])
     left = docs.join(marked, same, "left").where("_near_gone IS NULL OR NOT _near_gone")
