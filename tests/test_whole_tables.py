@@ -13,7 +13,7 @@ DATA = "/root/testdata/sf0.001"
 def test_the_ensemble_scores_every_validation_row(spark):
     rows = feature_rows(spark, DATA)
     n = models.QUERIES["model_ensemble"](spark, DATA).agg(F.sum("n")).first()[0]
-    assert n == S.split(rows).where("part = 'valid'").count() > 1000
+    assert n == S.split(rows, label="label").where("part = 'valid'").count() > 1000
 
 
 def test_model_queries_read_all_rows(spark, monkeypatch):
