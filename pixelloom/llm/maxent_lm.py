@@ -40,6 +40,8 @@ END = b"\n"
 ROUNDS, KAPPA, FIRST, RATE, MOST_WEIGHT = 2, 20.0, 0.6, 0.25, 8.0
 #: Tokens of one numpy batch, distinct words that a task counts or remembers, rows of the weight table that travel as one.
 BATCH, FLUSH, CACHE, BLOCK = 1 << 12, 200_000, 100_000, 256
+#: Words, or rows of the weight table, that the driver works on at once.
+SLICE = 1 << 14
 #: Training tokens of one task of a gradient round.
 TASK = 1 << 24
 _U, _START = np.uint32, np.int32(0x7FFFFFFF)
@@ -82,9 +84,13 @@ def token_counts(docs: DataFrame) -> DataFrame:
 
 def _letters(words: list[bytes]) -> np.ndarray:
     """(words, 64): how often each word has bytes of each kind."""
-    size = np.fromiter(map(len, words), np.int64, len(words))
-    raw = np.frombuffer(b"".join(words), np.uint8)
-    return np.bincount(np.repeat(np.arange(len(words)), size) * 64 + (raw & 63), minlength=64 * len(words)).reshape(-1, 64).astype(np.float32)
+    out = np.empty((len(words), 64), np.float32)
+    for a in range(0, len(words), SLICE):
+        part = words[a : a + SLICE]
+        size = np.fromiter(map(len, part), np.int64, len(part))
+        raw = np.frombuffer(b"".join(part), np.uint8)
+        out[a : a + SLICE] = np.bincount(np.repeat(np.arange(len(part)), size) * 64 + (raw & 63), minlength=64 * len(part)).reshape(-1, 64)
+    return out
 
 
 def classes_of(words: list[bytes], counts: np.ndarray, k: int = FAN) -> np.ndarray:
@@ -316,8 +322,12 @@ def _packed(x: np.ndarray) -> bytes:
     return ((x.view(_U) + _U(0x8000)) >> _U(16)).astype(np.uint16).tobytes()
 
 
+def _widened(x: np.ndarray) -> np.ndarray:
+    return (x.astype(_U) << _U(16)).view(np.float32)
+
+
 def _unpacked(raw) -> np.ndarray:
-    return (np.frombuffer(raw, np.uint16).astype(_U) << _U(16)).view(np.float32)
+    return _widened(np.frombuffer(raw, np.uint16))
 
 
 def _blocks(table: np.ndarray):
@@ -367,24 +377,38 @@ def _summed(batches):
         yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([_packed(x.astype(np.float32))], pa.binary())], names=["block", "held"])
 
 
-def gathered(codes: DataFrame, tree, weights, rows: int, tasks: int) -> np.ndarray:
-    """(rows, FAN) sums over all texts. The table's rows reach the driver, 2^MOST_BITS and one for each node at most."""
+class Sums:
+    """(rows, FAN) sums as they travel, in half the bytes of floats; a slice of rows is widened when it is asked for."""
+
+    def __init__(self, rows: int):
+        self._held = np.zeros((rows, FAN), np.uint16)
+
+    def put(self, block: int, raw) -> None:
+        x = np.frombuffer(raw, np.uint16).reshape(-1, FAN)
+        self._held[block * BLOCK : block * BLOCK + len(x)] = x
+
+    def __getitem__(self, rows: slice) -> np.ndarray:
+        return _widened(self._held[rows])
+
+
+def gathered(codes: DataFrame, tree, weights, rows: int, tasks: int) -> Sums:
+    """Sums over all texts. The table's rows reach the driver, 2^MOST_BITS and one for each node at most."""
     parts = codes.coalesce(tasks).mapInArrow(_gathered(tree, weights), "block int, held binary")
-    out = np.zeros((rows, FAN), np.float32)
-    for r in parts.repartition("block").mapInArrow(_summed, "block int, held binary").collect():
-        x = _unpacked(r["held"]).reshape(-1, FAN)
-        out[r["block"] * BLOCK : r["block"] * BLOCK + len(x)] = x
+    out = Sums(rows)
+    found = parts.repartition("block").mapInArrow(_summed, "block int, held binary").collect()
+    while found:  # a row goes once it is copied
+        out.put(*found.pop())
     return out
 
 
 def _parts_of(tree: Tree):
     """The table's rows in slices, with the prior of each row's outcomes: what the driver computes at once stays small."""
-    for a in range(0, tree.rows, 1 << 14):
-        part = slice(a, a + (1 << 14))
+    for a in range(0, tree.rows, SLICE):
+        part = slice(a, a + SLICE)
         yield part, np.exp(tree.bias[tree.owner[part]])
 
 
-def start_weights(tree: Tree, counts: np.ndarray) -> np.ndarray:
+def start_weights(tree: Tree, counts) -> np.ndarray:
     """A share of the smoothed log-ratios of a feature's outcomes to the prior of its node."""
     out = np.zeros((tree.rows, FAN), np.float32)
     for part, prior in _parts_of(tree):
@@ -394,11 +418,12 @@ def start_weights(tree: Tree, counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def update(tree: Tree, weights: np.ndarray, counts: np.ndarray, gradient: np.ndarray, share: float) -> None:
+def update(tree: Tree, weights: np.ndarray, counts, gradient, share: float) -> None:
     """Step along the gradient of a part of the rows, each weight's divided by its curvature in that part."""
     for part, prior in _parts_of(tree):
-        seen = counts[part].sum(1, keepdims=True)
-        p = (counts[part] + KAPPA * prior) / (seen + KAPPA)
+        n = counts[part]
+        seen = n.sum(1, keepdims=True)
+        p = (n + KAPPA * prior) / (seen + KAPPA)
         step = (gradient[part] / (share * seen * p * (1 - p) + KAPPA / 2)).clip(-1, 1)
         weights[part] = np.where(prior > 0, weights[part] + RATE * step, 0).clip(-MOST_WEIGHT, MOST_WEIGHT)
 
@@ -435,7 +460,10 @@ def _scores(tree, weights, count, mass):
 
 
 class Model:
-    """A trained model and the tables that it was made from: coded (row, doc_id, held_out, codes, rare), counts (word, c)."""
+    """A trained model and the tables that it was made from: coded (row, doc_id, held_out, codes, rare), counts (word, c).
+
+    Words and outcomes leave the driver's memory as soon as the codes are stored and the weights are trained.
+    """
 
     def __init__(self, docs: DataFrame, parts: int = 10, rounds: int = ROUNDS, heavy: int = HEAVY):
         context = docs.sparkSession.sparkContext
@@ -446,9 +474,11 @@ class Model:
         self.n, self.v = whole["n"] or 0, whole["v"]
         # words that occur once are rare in any corpus: from them the model learns where new words come
         self.cutoff = max(2, frequency_cutoff(self.counts, "c", heavy)) if self.v else 2
-        frequent = (F.col("c") >= self.cutoff) | (F.col("word") == F.lit(END))
-        self.vocabulary = Vocabulary({bytes(r["word"]): r["c"] for r in self.counts.where(frequent).collect()})
-        shared = context.broadcast(self.vocabulary)
+        frequent = self._frequent()
+        vocabulary = self.vocabulary
+        self.count, kinds_of = vocabulary.count, vocabulary.classes
+        shared = context.broadcast(vocabulary)
+        del vocabulary
         self.rare = self.counts.where(~frequent)
 
         def rare_leaves(batches):
@@ -461,26 +491,47 @@ class Model:
             size[r["k"]], kinds[r["k"]] = r["c"], r["v"]
         self.mass = size + ALPHA * (kinds + 1)  # of each rare leaf: its words and one that wasn't seen
         bits = min(MOST_BITS, max(LEAST_BITS, int(self.n).bit_length() - THIN))
-        classes = np.concatenate((np.arange(RARE) // (RARE // FAN), self.vocabulary.classes))
-        self.tree = Tree(classes, np.concatenate((self.mass, self.vocabulary.count + ALPHA)), 1 << bits)
+        classes = np.concatenate((np.arange(RARE) // (RARE // FAN), kinds_of))
+        self.tree = Tree(classes, np.concatenate((self.mass, self.count + ALPHA)), 1 << bits)
         coded = base.mapInArrow(_coded(shared), "row long, doc_id long, held_out boolean, codes binary, rare array<binary>")
         self.coded = stored(coded, "coded", compression="zstd")
+        shared.destroy()
+        del shared, coded, rare_leaves
         self.shared_tree = context.broadcast(self.tree)
         train, rows = self.coded.where("NOT held_out"), self.tree.rows
-        self.weights, self.outcomes = np.zeros((rows, FAN), np.float32), np.zeros((rows, FAN), np.float32)
         if self.n:
-            tasks = lambda n: max(context.defaultParallelism, -(-n // TASK))
-            self.outcomes = gathered(train.select("codes"), self.shared_tree, None, rows, tasks(self.n))
-            self.weights = start_weights(self.tree, self.outcomes)
+            outcomes = self._gathered_outcomes()
+            self.weights = start_weights(self.tree, outcomes)
             for k in range(rounds):
                 part = train.where(F.pmod(F.xxhash64("row"), F.lit(rounds)) == k).select("codes")
                 held = context.broadcast(self.weights)
-                update(self.tree, self.weights, self.outcomes, gathered(part, self.shared_tree, held, rows, tasks(self.n // rounds)), 1 / rounds)
+                update(self.tree, self.weights, outcomes, gathered(part, self.shared_tree, held, rows, self._tasks(self.n // rounds)), 1 / rounds)
                 held.destroy()
+        else:
+            self.weights = np.zeros((rows, FAN), np.float32)
+
+    def _tasks(self, n: int) -> int:
+        return max(self.coded.sparkSession.sparkContext.defaultParallelism, -(-n // TASK))
+
+    def _gathered_outcomes(self) -> Sums:
+        return gathered(self.coded.where("NOT held_out").select("codes"), self.shared_tree, None, self.tree.rows, self._tasks(self.n))
+
+    @property
+    def outcomes(self) -> np.ndarray:
+        """(rows, FAN) counts of outcomes by row of the table, gathered again whenever they are asked for."""
+        return self._gathered_outcomes()[:]
+
+    def _frequent(self) -> Column:
+        return (F.col("c") >= self.cutoff) | (F.col("word") == F.lit(END))
+
+    @property
+    def vocabulary(self) -> Vocabulary:
+        """Made from the stored counts whenever it is asked for; the model doesn't keep it."""
+        return Vocabulary({bytes(r["word"]): r["c"] for r in self.counts.where(self._frequent()).collect()})
 
     def scores(self) -> DataFrame:
         context = self.coded.sparkSession.sparkContext
-        run = _scores(self.shared_tree, context.broadcast(self.weights), context.broadcast(self.vocabulary.count), context.broadcast(np.log10(self.mass)))
+        run = _scores(self.shared_tree, context.broadcast(self.weights), context.broadcast(self.count), context.broadcast(np.log10(self.mass)))
         rows = self.coded.select("row", "doc_id", "held_out", "codes").mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, known long, logs double, shape double")
         words = self.coded.select("row", F.explode("rare").alias("word")).join(self.rare.hint("merge"), "word", "left")
         log = F.log10(F.coalesce("c", F.lit(0)) + ALPHA)

@@ -565,3 +565,25 @@ def test_empty_tables(spark, run):
     p = spark.createDataFrame([], "page_id long, url string, html string")
     x = spark.createDataFrame([], "item_id long, text string")
     assert run(d, p, x).count() == 0
+
+
+def test_lm_driver_holds_little(spark, monkeypatch):
+    """Beside the weights the driver has tables of half their size, no words once they are coded, and no whole table of letters."""
+    import tracemalloc
+
+    words = [b"w%d" % (i * 7919) for i in range(3 * maxent_lm.SLICE)]
+    tracemalloc.start()
+    letters = maxent_lm._letters(words)
+    peak = tracemalloc.get_traced_memory()[1]
+    assert letters.sum() == sum(map(len, words)) and peak < 2 * letters.nbytes
+
+    monkeypatch.setattr(maxent_lm, "LEAST_BITS", 17)
+    rows = [(i, f"a b{i % 7} c{i % 5} d a") for i in range(200)]
+    tracemalloc.reset_peak()
+    start = tracemalloc.get_traced_memory()[0]
+    model = maxent_lm.Model(docs(spark, rows))
+    peak = tracemalloc.get_traced_memory()[1] - start
+    tracemalloc.stop()
+    size = model.weights.nbytes
+    assert model.weights.any() and not any(isinstance(x, maxent_lm.Vocabulary) for x in vars(model).values())
+    assert peak < 3.2 * size, peak / size
