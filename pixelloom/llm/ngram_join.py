@@ -42,6 +42,8 @@ FILTER_BITS = 1 << 26
 MOST_BROADCAST = 32_000_000
 #: Parity sketches have so many words of 64 bits.
 SKETCH = 16
+#: Words whose hashes a worker remembers, rows that it turns into Python objects at once.
+CACHE, ROWS = 100_000, 256
 _U = np.uint64
 _M1, _M2 = _U(0xFF51AFD7ED558CCD), _U(0xC4CEB9FE1A85EC53)  # fixed values: a 64-bit finalizer's multipliers
 
@@ -59,7 +61,7 @@ class Shingles:
         import xxhash
 
         self._words = words
-        self._hash = _Cache(lambda ws: [xxhash.xxh3_64_intdigest(w) for w in ws], 400_000)
+        self._hash = _Cache(lambda ws: [xxhash.xxh3_64_intdigest(w) for w in ws], CACHE)
 
     def of(self, text: str) -> np.ndarray:
         words = text.encode("utf-8", "surrogatepass").translate(FOLD).split()
@@ -184,9 +186,9 @@ def _all_keys(words: int, scheme: Scheme):
     def run(batches):
         shingles = Shingles(words)
         for batch in batches:
-            for a in range(0, batch.num_rows, 512):
+            for a in range(0, batch.num_rows, ROWS):
                 keys, nodes = [], []
-                for t in batch.column(0).slice(a, 512).to_pylist():
+                for t in batch.column(0).slice(a, ROWS).to_pylist():
                     if len(h := shingles.of(t)):
                         keys.append(k := scheme.keys(h))
                         nodes.append(np.full(len(k), node_of(h)))
@@ -209,16 +211,18 @@ def _documents(words: int, scheme: Scheme, repeated):
     def run(batches):
         shingles, seen = Shingles(words), repeated.value
         for batch in batches:
-            out = {f.name: [] for f in _DOC} | {"doc_id": batch.column(0), "text_hash": batch.column(2)}
-            for t in batch.column(1).to_pylist():
-                h = shingles.of(t)
-                out["n"].append(len(h))
-                out["node"].append(int(node_of(h)) if len(h) else None)
-                for i, b in enumerate(sketch(h).tolist()):
-                    out[f"b{i}"].append(b)
-                keys = scheme.keys(h) if len(h) else h
-                out["keys"].append(_signed(keys[seen.has(keys)]))
-            yield pa.RecordBatch.from_pydict(out, schema=_DOC)
+            for a in range(0, batch.num_rows, ROWS):
+                part = batch.slice(a, ROWS)
+                sizes, nodes, keys, bits = [], [], [], np.empty((SKETCH, part.num_rows), np.int64)
+                for i, t in enumerate(part.column(1).to_pylist()):
+                    h = shingles.of(t)
+                    sizes.append(len(h))
+                    nodes.append(int(node_of(h)) if len(h) else None)
+                    bits[:, i] = sketch(h)
+                    own = scheme.keys(h) if len(h) else h
+                    keys.append(_signed(own[seen.has(own)]))
+                columns = [part.column(0), part.column(2), sizes, nodes, *bits, keys]
+                yield pa.RecordBatch.from_pydict(dict(zip(_DOC.names, columns)), schema=_DOC)
 
     return run
 
@@ -230,8 +234,8 @@ def _sets(words: int, wanted):
             ids = batch.column(0)
             known = np.asarray(ids.fill_null(0)).astype(np.int64).view(_U)
             keep = np.flatnonzero(seen.has(known) | np.asarray(ids.is_null()))
-            for a in range(0, len(keep), 256):
-                sets = [h for t in batch.column(1).take(pa.array(keep[a : a + 256])).to_pylist() if len(h := shingles.of(t))]
+            for a in range(0, len(keep), ROWS):
+                sets = [h for t in batch.column(1).take(pa.array(keep[a : a + ROWS])).to_pylist() if len(h := shingles.of(t))]
                 nodes = pa.array([int(node_of(h)) for h in sets], pa.int64())
                 yield pa.RecordBatch.from_arrays([nodes, pa.array([h.tobytes() for h in sets], pa.binary())], names=["node", "held"])
 

@@ -587,3 +587,22 @@ def test_lm_driver_holds_little(spark, monkeypatch):
     size = model.weights.nbytes
     assert model.weights.any() and not any(isinstance(x, maxent_lm.Vocabulary) for x in vars(model).values())
     assert peak < 3.2 * size, peak / size
+
+
+def test_ngram_rows_leave_a_worker_in_small_batches():
+    """A worker holds the keys and sketches of few rows at a time, whatever the size of the batch that it gets."""
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    texts = [f"a b c d e f g {i}" for i in range(700)] + ["", "x"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(702)), pa.array(texts), pa.array(range(702))], names=["doc_id", "t", "text_hash"])
+    every = SimpleNamespace(value=SimpleNamespace(has=lambda keys: np.ones(len(keys), bool)))
+    out = list(ngram_join._documents(5, ngram_join.Scheme(80, 100, 5), every)([batch]))
+    assert max(b.num_rows for b in out) <= 256
+    shingles, rows = ngram_join.Shingles(5), pa.Table.from_batches(out).to_pylist()
+    assert [r["doc_id"] for r in rows] == [r["text_hash"] for r in rows] == list(range(702))
+    for r, t in zip(rows, texts):
+        h = shingles.of(t)
+        assert r["n"] == len(h) and [r[f"b{i}"] for i in range(ngram_join.SKETCH)] == ngram_join.sketch(h).tolist()
+        assert r["node"] == (int(ngram_join.node_of(h)) if len(h) else None)
